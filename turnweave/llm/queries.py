@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import language_model, minhash
+from turnweave.llm import decontaminate, language_model, minhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def _fold(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
+#: The contract's rules: host and path prefix, verdict.
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+#: The method's own list, for what no rule decides: hosts that sell and cheat.
+BLOCKED = ["adult-x.example.net/", "casino-win.example.com/", "cheap-pills.example.com/", "cheap-pills.example.net/", "casino-win.example.net/", "adult-x.example.com/", "spam-farm.example.com/", "spam-farm.example.net/"]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(key, verdict, key) for key, verdict in RULES] + [(key, "block", None) for key in BLOCKED]
+    listed = spark.createDataFrame(rows, "key string, verdict string, rule string")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(_table(spark, sf_dir, "documents"), _fold(7) != 2)
 
@@ -25,5 +42,31 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
-QUERIES = {"op2_language_model": op2_language_model, "op4_minhash": op4_minhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_decontaminate": op3_decontaminate, "op2_language_model": op2_language_model, "op4_minhash": op4_minhash}
+_OP1 = """
+WITH u AS (SELECT page_id, url, strpos(url, '://') AS p FROM pages),
+     r AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) END AS rest FROM u),
+     h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
+     l(key, verdict, rule) AS (VALUES %s),
+     m AS (SELECT h.*, l.rule, l.verdict, row_number() OVER (PARTITION BY page_id ORDER BY (l.rule IS NOT NULL) DESC, length(l.key) DESC, l.key DESC) AS n
+           FROM h LEFT JOIN l ON (h.host = split_part(l.key, '/', 1) OR ends_with(h.host, '.' || split_part(l.key, '/', 1)))
+                             AND starts_with(h.path, substr(l.key, strpos(l.key, '/'))))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+""" % ", ".join([f"('{k}', '{v}', '{k}')" for k, v in RULES] + [f"('{k}', 'block', NULL)" for k in BLOCKED])
+
+_OP3 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM documents),
+     b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM benchmark),
+     bw AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+     ns AS (SELECT DISTINCT n FROM bw),
+     dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns)),
+     hit AS (SELECT doc_id, n, i, item FROM dw JOIN bw USING (n, g)),
+     word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+     its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1, "op3_decontaminate": _OP3}
