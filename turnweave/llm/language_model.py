@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -259,7 +260,7 @@ def score_texts(
     training: Column,
     prior: float = 60.0,
     min_pairs: int = 2,
-    max_filter_bytes: int = 64 << 20,
+    max_filter_bytes: int = 32 << 20,
     segment_tokens: int = 2_000_000,
     bits_per_entry: int = 16,
     hot_words: int = 1 << 20,
@@ -291,10 +292,12 @@ def score_texts(
     entries = np.cumsum([held.get(q, 0) * q for q in range(len(LEVELS), 0, -1)])[::-1]
     cutoff = 1 + int(np.argmax(entries * bits_per_entry <= 8 * max_filter_bytes))
     merged = both.select("segment", "hashes", "levels").repartition(segments, "segment").sortWithinPartitions("segment")
-    parts = {r.segment: np.frombuffer(r.words, np.uint64) for r in merged.mapInArrow(_filter_batches(cutoff, bits_per_entry), "segment int, words binary").collect()}
-    none = np.zeros(0, np.uint64)
-    offsets = np.append(0, np.cumsum([len(parts.get(s, none)) for s in range(segments)]))
-    model = Filter(np.concatenate([parts.get(s, none) for s in range(segments)]), offsets)
+    built = merged.mapInArrow(_filter_batches(cutoff, bits_per_entry), "segment int, words binary").toArrow().sort_by("segment")
+    sizes = np.zeros(segments, np.int64)
+    sizes[built.column("segment").to_numpy()] = pa.compute.binary_length(built.column("words")).to_numpy() // 8
+    words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in built.column("words"))])
+    model = Filter(words, np.append(0, np.cumsum(sizes)))
+    del built
     hot = counts.where(F.col("c") * hot_words >= F.lit(max(total, 1))).toPandas().sort_values("word", key=lambda x: x.to_numpy().view(np.uint64))
     shared = spark.sparkContext.broadcast((model, hot["word"].to_numpy().view(np.uint64), hot["c"].to_numpy()))
     keyed = rows.select("doc_id", "in_training", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").cast("long").alias("k2"), "text")

@@ -25,7 +25,8 @@ BLOCKED = ["adult-x.example.net/", "casino-win.example.com/", "cheap-pills.examp
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(key, verdict, key) for key, verdict in RULES] + [(key, "block", None) for key in BLOCKED]
-    listed = spark.createDataFrame(rows, "key string, verdict string, rule string")
+    named = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict"), F.lit(r).cast("string").alias("rule")) for k, v, r in rows]
+    listed = spark.range(1).select(F.inline(F.array(*named)))
     return url_filter.judge(_table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -56,11 +57,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """ % ", ".join([f"('{k}', '{v}', '{k}')" for k, v in RULES] + [f"('{k}', 'block', NULL)" for k in BLOCKED])
 
 _OP3 = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM documents),
-     b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM benchmark),
-     bw AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+     b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+     bs AS (SELECT item, least(13, len(w)) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS size FROM b WHERE len(w) > 0),
+     bw AS (SELECT DISTINCT item, n, g FROM (SELECT item, n, i, size, string_agg(x, ' ') OVER (PARTITION BY item ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS g FROM bs) WHERE i + n - 1 <= size),
      ns AS (SELECT DISTINCT n FROM bw),
-     dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns)),
+     ds AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS size FROM d WHERE len(w) > 0),
+     dw AS (SELECT doc_id, n, i, g FROM (SELECT doc_id, n, i, size, string_agg(x, ' ') OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS g FROM ds, ns) WHERE i + n - 1 <= size),
      hit AS (SELECT doc_id, n, i, item FROM dw JOIN bw USING (n, g)),
      word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
      its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
