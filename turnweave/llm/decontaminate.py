@@ -42,9 +42,10 @@ def _windows(docs: DataFrame, guarantee: int, k: int) -> DataFrame:
     """docs(words, ...) with least: the winnowed hash of each window, by place."""
     k = min(k, guarantee)
     w = guarantee - k + 1
-    some = docs.where(F.size("words") >= guarantee)
-    grams = some.withColumn("grams", F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(F.slice("words", i, k))))
-    return grams.withColumn("least", F.transform(F.sequence(F.lit(1), F.size("grams") - (w - 1)), lambda i: F.array_min(F.slice("grams", i, w)))).drop("grams")
+    # A CASE, not a filter: a filter would be pushed below the split and repeat it.
+    grams = F.when(F.size("words") >= guarantee, F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(F.slice("words", i, k))))
+    least = F.when(F.col("grams").isNotNull(), F.transform(F.sequence(F.lit(1), F.size("grams") - (w - 1)), lambda i: F.array_min(F.slice("grams", i, w))))
+    return docs.withColumn("grams", grams).withColumn("least", least).drop("grams")
 
 
 def contaminated(
@@ -71,18 +72,18 @@ def contaminated(
     parts = [marks]
     for length in lengths:
         own = _windows(items.where(F.col("length") == length), length, k)
-        window = own.select("item", F.explode(F.transform("least", lambda h, i: F.struct(h.alias("fingerprint"), F.array_join(F.slice("words", i + 1, length), " ").alias("window")))).alias("w"))  # noqa: B023
+        window = own.select("item", F.explode_outer(F.transform("least", lambda h, i: F.struct(h.alias("fingerprint"), F.array_join(F.slice("words", i + 1, length), " ").alias("window")))).alias("w"))  # noqa: B023
         window = cut(window.groupBy("w.fingerprint", "w.window").agg(F.collect_set("item").alias("items")))
         size = window.agg(F.coalesce(F.sum(F.length("window") + 24 * F.size("items") + 64), F.lit(0))).first()[0]
         prints, base = window.select("fingerprint").distinct(), _windows(rows, length, k)
-        least = base.select(*key, "words", F.posexplode("least").alias("at", "fingerprint"))
+        least = base.select(*key, "words", F.posexplode_outer("least").alias("at", "fingerprint"))
         if size <= max_broadcast:
             prints, window = F.broadcast(prints.withColumn("met", F.lit(True))), F.broadcast(window.select("window", "items"))
             met = least.join(prints, "fingerprint")
         else:
-            which = base.select(*key, F.explode(F.array_distinct("least")).alias("fingerprint")).join(prints, "fingerprint", "left_semi")
+            which = base.select(*key, F.explode_outer(F.array_distinct("least")).alias("fingerprint")).join(prints, "fingerprint", "left_semi")
             which = which.groupBy("k1", "k2").agg(F.collect_set("fingerprint").alias("met"))
-            met = base.join(which, ["k1", "k2"]).select(*key, "words", "met", F.posexplode("least").alias("at", "fingerprint")).where("array_contains(met, fingerprint)")
+            met = base.join(which, ["k1", "k2"]).select(*key, "words", "met", F.posexplode_outer("least").alias("at", "fingerprint")).where("array_contains(met, fingerprint)")
         found = met.select(*key, "at", F.array_join(F.slice("words", F.col("at") + 1, length), " ").alias("window")).join(window.select("window", "items"), "window")
         parts.append(found.select(*key, F.lit(None).cast("long").alias("n_words"), F.struct("at", F.lit(length).alias("length")).alias("span"), "items"))
     every = parts[0]

@@ -60,10 +60,11 @@ _OP3 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
      b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
      bs AS (SELECT item, least(13, len(w)) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS size FROM b WHERE len(w) > 0),
-     bw AS (SELECT DISTINCT item, n, g FROM (SELECT item, n, i, size, string_agg(x, ' ') OVER (PARTITION BY item ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS g FROM bs) WHERE i + n - 1 <= size),
+     bw AS (SELECT DISTINCT item, n, array_to_string(l[1 : n], ' ') AS g FROM (SELECT item, n, i, size, list(x) OVER (PARTITION BY item ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l FROM bs) WHERE i + n - 1 <= size),
      ns AS (SELECT DISTINCT n FROM bw),
      ds AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS size FROM d WHERE len(w) > 0),
-     dw AS (SELECT doc_id, n, i, g FROM (SELECT doc_id, n, i, size, string_agg(x, ' ') OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS g FROM ds, ns) WHERE i + n - 1 <= size),
+     dl AS (SELECT doc_id, i, size, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l FROM ds),
+     dw AS (SELECT doc_id, n, i, array_to_string(l[1 : n], ' ') AS g FROM dl JOIN ns ON i + n - 1 <= size),
      hit AS (SELECT doc_id, n, i, item FROM dw JOIN bw USING (n, g)),
      word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
      its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
