@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import decontaminate, language_model, minhash, url_filter
+from turnweave.llm import decontaminate, language_model, minhash, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,17 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_decontaminate": op3_decontaminate, "op2_language_model": op2_language_model, "op4_minhash": op4_minhash}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_language_model": op2_language_model,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_minhash": op4_minhash,
+    "op7_quality_rules": op7_quality_rules,
+}
 _OP1 = """
 WITH u AS (SELECT page_id, url, strpos(url, '://') AS p FROM pages),
      r AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) END AS rest FROM u),
