@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import decontaminate, language_model, minhash, quality, url_filter
+from turnweave.llm import decontaminate, language_model, minhash, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +47,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(3) == 1)
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_model": op2_language_model,
     "op3_decontaminate": op3_decontaminate,
     "op4_minhash": op4_minhash,
     "op7_quality_rules": op7_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
 _OP1 = """
 WITH u AS (SELECT page_id, url, strpos(url, '://') AS p FROM pages),
