@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import decontaminate, language_model, minhash, quality, toxicity, url_filter
+from turnweave.llm import decontaminate, language_model, minhash, mixing, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_language_model": op2_language_model,
     "op3_decontaminate": op3_decontaminate,
     "op4_minhash": op4_minhash,
+    "op5_mixing": op5_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op9_toxicity": op9_toxicity,
 }
