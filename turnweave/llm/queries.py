@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import decontaminate, language_model, minhash, mixing, quality, toxicity, url_filter
+from turnweave.llm import decontaminate, language_model, minhash, mixing, quality, repeats, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_model": op2_language_model,
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_repeats": op10_repeats,
 }
 _OP1 = """
 WITH u AS (SELECT page_id, url, strpos(url, '://') AS p FROM pages),
