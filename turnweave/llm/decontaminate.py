@@ -38,6 +38,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), _GAP), lambda w: w != "")
 
 
+def row_keys(ident: Column, text: Column) -> list[Column]:
+    """Two hashes of a row's id and text, by which its verdict finds it again."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(ident, text).alias("k1"), F.hash(text).alias("k2")]
+
+
 def _windows(docs: DataFrame, guarantee: int, k: int) -> DataFrame:
     """docs(words, ...) with least: the winnowed hash of each window, by place."""
     k = min(k, guarantee)
@@ -61,13 +67,14 @@ def contaminated(
     item_text: str = "text",
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids as strings),
-    items_sha256, contaminated of every row of docs."""
+    items_sha256, contaminated, k1 and k2 (hashes of id and text, see row_keys)
+    of every row of docs."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where("size(words) > 0")
     items = cut(items.withColumn("length", F.least(F.size("words"), F.lit(span))))
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     rows = docs.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = ["k1", "k2", "doc_id"]
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").alias("k2"), "doc_id", words_of(F.col("text")).alias("words"))
+    rows = rows.select(*row_keys(F.col("doc_id"), F.col("text")), "doc_id", words_of(F.col("text")).alias("words"))
     marks = rows.select(*key, F.size("words").cast("long").alias("n_words"), F.lit(None).cast("struct<at:int,length:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
     parts = [marks]
     for length in lengths:
@@ -108,4 +115,6 @@ def contaminated(
         "items",
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * numerator >= F.col("n_words"))).alias("contaminated"),
+        "k1",
+        "k2",
     )

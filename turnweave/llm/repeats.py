@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm import bytetext as bt
@@ -171,13 +171,13 @@ def _window_batches(length: int):
     return run
 
 
-def _removal_batches(length: int):
-    """(doc_id, text, found) to the report and what is left of the text."""
+def _removal_batches(length: int, kept: list[str]):
+    """Batches with text and open to the columns kept, the report, and what is left of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = bt.string_parts(batch.column(1))
-            row, (lo, hi) = _lists(batch.column(2), ["lo", "hi"])
+            offsets, data = bt.string_parts(batch.column(batch.schema.get_field_index("text")))
+            row, (lo, hi) = _lists(batch.column(batch.schema.get_field_index("open")), ["lo", "hi"])
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             out = [[], [], [], [], []]
             for i in range(batch.num_rows):
@@ -189,12 +189,11 @@ def _removal_batches(length: int):
                 gone = np.cumsum(mark)[:-1] > 0
                 left = own[~gone].tobytes()
                 runs = int(np.count_nonzero(np.diff(np.append(False, gone).astype(np.int8)) == 1))
-                for column, value in zip(out, (len(own), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left)):
+                for column, value in zip(out, (len(own), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(x, kind) for x, kind in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
@@ -206,12 +205,6 @@ def _by_text(df: DataFrame, *fields: str) -> DataFrame:
     return F.broadcast(out) if rows * 64 + items * 48 <= BROADCAST_BYTES else out
 
 
-def _keyed(docs: DataFrame, text: str, ident: str) -> DataFrame:
-    """doc_id, text and two hashes of both, by which rounds find a text again."""
-    rows = docs.select(F.col(ident).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").cast("long").alias("k2"), "text")
-
-
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(settled ranges, open members with weights) of the buckets ``name``."""
     alike = cut(rows.groupBy("name", "hull").agg(F.sum("weight").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one")))
@@ -238,14 +231,20 @@ def repeated_windows(rows: DataFrame, length: int = 400, q: int = 144) -> DataFr
     return _by_text(first.unionByName(second).unionByName(third), "lo", "hi")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, q: int = 144, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row."""
-    rows = _keyed(docs, text, ident)
+def remove_repeats(docs: DataFrame, length: int = 400, q: int = 144, text: str = "text", ident: str = "doc_id", keep: list[str | Column] | None = None) -> DataFrame:
+    """doc_id, the columns in ``keep`` (of other names), n_bytes, n_removed,
+    n_spans, kept_sha256 (of the bytes left) and kept (the bytes left as text,
+    without characters that a cut broke) of every row."""
+    extra = list(keep or [])
+    keys = [F.xxhash64(F.col(ident), F.coalesce(text, F.lit(""))).alias("k1"), F.hash(F.coalesce(text, F.lit(""))).cast("long").alias("k2")]
+    rows = docs.select(F.col(ident).alias("doc_id"), *extra, *keys, F.coalesce(text, F.lit("")).alias("text"))
     found = repeated_windows(rows, length, q)
-    kind = docs.schema[ident].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    hit = rows.join(found, ["k1", "k2"]).select("doc_id", "text", "open").mapInArrow(_removal_batches(length), schema)
-    raw = F.col("text").cast("binary")
+    kept = ["doc_id", *rows.columns[1 : 1 + len(extra)]]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    hit = rows.join(found, ["k1", "k2"]).select(*kept, "text", "open").mapInArrow(_removal_batches(length, kept), schema)
     zero = F.lit(0).cast("long")
-    clean = rows.join(found, ["k1", "k2"], "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept"))
+    clean = rows.join(found, ["k1", "k2"], "left_anti").select(
+        *kept, F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").alias("kept")
+    )
     return hit.unionByName(clean)

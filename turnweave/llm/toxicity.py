@@ -208,11 +208,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, min_toxic: int = 3, steps: int = 30,
     return tagger
 
 
-def _score_batches(shared):
+def _score_batches(shared, text: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
         for batch in batches:
-            for lo, hi, padded, starts in bt.chunks(batch.column(batch.num_columns - 1)):
+            for lo, hi, padded, starts in bt.chunks(batch.column(batch.schema.get_field_index(text))):
                 p, first, s, e = tagger.tag(padded, starts)
                 row = bt.rows_of(first)
                 bad = np.flatnonzero(p >= 0.5)
@@ -224,8 +224,8 @@ def _score_batches(shared):
                 spans = pa.StructArray.from_arrays([pa.array(s[bad[at]] - starts[r]), pa.array(e[last] - starts[r])], names=["begin", "end"])
                 cuts = pa.array(np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [c.slice(lo, hi - lo) for c in batch.columns[:-1]] + [pa.array(tagger.score(p, first)), pa.ListArray.from_arrays(cuts, spans)],
-                    names=[*batch.schema.names[:-1], "score", "spans"],
+                    [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in kept] + [pa.array(tagger.score(p, first)), pa.ListArray.from_arrays(cuts, spans)],
+                    names=[*kept, "score", "spans"],
                 )
 
     return run
@@ -234,7 +234,8 @@ def _score_batches(shared):
 def score_documents(
     docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 1500, threshold: float = 0.7, text: str = "text", ident: str = "doc_id", keep: list[str] | None = None
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans (byte offsets) of every row.
+    """doc_id, held_out, the columns in ``keep``, score, predicted, spans (byte
+    offsets) of every row.
 
     labels: (doc_id, toxic); rows of docs where ``held_out`` holds are not
     learnt from. sample bounds the training documents of each class.
@@ -248,7 +249,8 @@ def score_documents(
     tagger = fit(few.column("text").combine_chunks(), few.column("toxic").to_numpy().astype(bool))
     shared = spark.sparkContext.broadcast(tagger)
     extra = [c for c in keep or [] if c not in (ident, "held_out", "score", "spans", "predicted")]
-    rows = docs.select(F.col(ident), F.coalesce(held_out, F.lit(False)).alias("held_out"), *[F.col(c) for c in extra], F.coalesce(text, F.lit("")).alias("__scored"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(_score_batches(shared), f"{fields}, score double, spans array<struct<begin:long,end:long>>")
+    rows = docs.select(F.col(ident), F.coalesce(held_out, F.lit(False)).alias("held_out"), *[F.col(c) for c in extra], *[F.col(c) for c in [text] if c not in extra])
+    kept = [ident, "held_out", *extra]
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    out = rows.mapInArrow(_score_batches(shared, text, kept), f"{fields}, score double, spans array<struct<begin:long,end:long>>")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
