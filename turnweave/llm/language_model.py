@@ -258,7 +258,7 @@ def _rare_batches(shared):
 def score_texts(
     docs: DataFrame,
     training: Column,
-    prior: float = 60.0,
+    prior: float = 2000.0,
     min_pairs: int = 2,
     max_filter_bytes: int = 32 << 20,
     segment_tokens: int = 2_000_000,

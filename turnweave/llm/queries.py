@@ -120,10 +120,10 @@ WITH t AS (SELECT conv_id, coalesce(role, 'user') AS role, role AS raw_role, coa
      f AS (SELECT s.*, coalesce((SELECT text FROM t WHERE t.conv_id = s.conv_id AND t.i = s.last), '') AS own FROM s),
      p AS (SELECT *, CASE WHEN last IS NULL THEN n WHEN last > first AND own = reply THEN last ELSE last - 1 END AS k, CASE WHEN last > first AND own <> reply THEN reply END AS other FROM f),
      r AS (SELECT t.conv_id, i, t.role, '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) AS line, k FROM t JOIN p USING (conv_id)),
-     c AS (SELECT *, coalesce(sum(length(line)) FILTER (i > k) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r)
+     c AS (SELECT *, coalesce(sum(length(line)) FILTER (i > k) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM r)
 SELECT conv_id, k AS n_prompt_turns, coalesce(string_agg(line, '' ORDER BY i) FILTER (i <= k), '') AS prompt,
        coalesce(string_agg(line, '' ORDER BY i) FILTER (i > k), '') AS chosen_completion,
-       coalesce(string_agg(CAST(CAST(at AS BIGINT) + 13 + length(role) AS VARCHAR) || '-' || CAST(CAST(at AS BIGINT) + length(line) - 1 AS VARCHAR), ',' ORDER BY i) FILTER (i > k AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(CAST(CAST(begun AS BIGINT) + 13 + length(role) AS VARCHAR) || '-' || CAST(CAST(begun AS BIGINT) + length(line) - 1 AS VARCHAR), ',' ORDER BY i) FILTER (i > k AND role = 'assistant'), '') AS chosen_mask,
        coalesce('<|im_start|>assistant' || chr(10) || any_value(other) || '<|im_end|>' || chr(10), '') AS rejected_completion,
        coalesce('22-' || CAST(22 + length(any_value(other)) + 10 AS VARCHAR), '') AS rejected_mask,
        count(*) FILTER (i > k) = 0 AND any_value(other) IS NULL AS same
