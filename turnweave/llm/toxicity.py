@@ -232,7 +232,7 @@ def _score_batches(shared, text: str, kept: list[str]):
 
 
 def score_documents(
-    docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 1500, threshold: float = 0.7, text: str = "text", ident: str = "doc_id", keep: list[str] | None = None
+    docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 800, threshold: float = 0.7, text: str = "text", ident: str = "doc_id", keep: list[str] | None = None
 ) -> DataFrame:
     """doc_id, held_out, the columns in ``keep``, score, predicted, spans (byte
     offsets) of every row.
