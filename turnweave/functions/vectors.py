@@ -39,7 +39,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """a over its norm + 1e-12; the zero vector stays zero."""
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + 1e-12))
+    # The norm is bound by an outer lambda; inside the inner one it would be computed per element.
+    return F.get(F.transform(F.array(norm(a) + 1e-12), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,12 +6,14 @@ column and returns the rows it keeps.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ASC = Window.partitionBy("conv_id").orderBy("turn_id")
-_DESC = Window.partitionBy("conv_id").orderBy(F.col("turn_id").desc())
-_SO_FAR = (Window.unboundedPreceding, 0)
+
+def _spent(newest_first: bool, tokens: Column) -> Column:
+    """Running sum of tokens over a conversation, from one end."""
+    order = F.col("turn_id").desc() if newest_first else F.col("turn_id").asc()
+    return F.sum(tokens).over(Window.partitionBy("conv_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def full_context(turns: DataFrame, budget: str = "budget") -> DataFrame:
@@ -21,16 +23,16 @@ def full_context(turns: DataFrame, budget: str = "budget") -> DataFrame:
 def last_n(turns: DataFrame, budget: str = "budget") -> DataFrame:
     """The longest suffix within the budget: sizes are not negative, so the
     suffix sum only grows and stopping is filtering."""
-    return turns.withColumn("spent", F.sum("token_count").over(_DESC.rowsBetween(*_SO_FAR))).where(F.col("spent") <= F.col(budget)).drop("spent")
+    return turns.withColumn("spent", _spent(True, F.col("token_count"))).where(F.col("spent") <= F.col(budget)).drop("spent")
 
 
 def head_tail(turns: DataFrame, budget: str = "budget", head_turns: int = 2) -> DataFrame:
     """Up to head_turns first turns, then a suffix of the others in what is left."""
     every = Window.partitionBy("conv_id")
-    head = (F.row_number().over(_ASC) <= head_turns) & (F.sum("token_count").over(_ASC.rowsBetween(*_SO_FAR)) <= F.col(budget))
+    head = (F.row_number().over(every.orderBy("turn_id")) <= head_turns) & (_spent(False, F.col("token_count")) <= F.col(budget))
     marked = turns.withColumn("is_head", head)
     used = F.coalesce(F.sum(F.when(F.col("is_head"), F.col("token_count"))).over(every), F.lit(0))
-    tail = F.sum(F.when(~F.col("is_head"), F.col("token_count"))).over(_DESC.rowsBetween(*_SO_FAR))
+    tail = _spent(True, F.when(~F.col("is_head"), F.col("token_count")))
     marked = marked.withColumns({"used": used, "spent": tail})
     return marked.where(F.col("is_head") | (F.col("spent") <= F.col(budget) - F.col("used"))).drop("is_head", "used", "spent")
 

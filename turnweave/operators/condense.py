@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnweave.functions.text import sentences, word_count, words
 from turnweave.functions.vectors import hashed_embeddings
+from turnweave.lineage import cut
 from turnweave.operators.dedup import check_fraction
 from turnweave.operators.relevance import hybrid_score
 
@@ -37,12 +38,12 @@ def word_information(texts: DataFrame, keys: list[str], text: str, corpus: DataF
     """keys, pos, word, info of the words of texts; the bigram counts come from
     corpus (texts themselves by default)."""
 
-    def bigrams(column: Column) -> Column:
-        w = words(F.lower(column))
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(F.get(w, i).alias("v"), F.get(w, i + 1).alias("w")))
+    def bigrams(w: Column) -> Column:
+        last = F.size(w) - 1
+        return F.arrays_zip(F.slice(w, 1, last).alias("v"), F.slice(w, 2, last).alias("w"))
 
     source = (corpus if corpus is not None else texts).select(F.col(corpus_text or text).alias("t")).where(word_count(F.col("t")) > 1)
-    pair = source.select(F.explode(bigrams(F.col("t"))).alias("b")).groupBy("b.v", "b.w").agg(F.count("*").alias("vw"))
+    pair = cut(source.select(words(F.lower("t")).alias("w")).select(F.explode(bigrams(F.col("w"))).alias("b")).select("b.v", "b.w").groupBy("v", "w").agg(F.count("*").alias("vw")))
     head = pair.groupBy("v").agg(F.sum("vw").alias("vn"))
     size = pair.select("w").distinct().count()
     split = texts.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "word"))
@@ -58,7 +59,7 @@ def select_sentences(texts: DataFrame, keys: list[str], text: str, query: str, t
     """keys, selected: the most relevant sentences while their running size stays
     within target (stops at the first that does not fit), in text order. Texts
     of which nothing fits do not appear."""
-    split = texts.select(*keys, query, target, F.posexplode(sentences(F.col(text))).alias("sent_id", "sentence"))
+    split = cut(texts.select(*keys, query, target, F.posexplode(sentences(F.col(text))).alias("sent_id", "sentence")))
     scored = hybrid_score(split, keys, "sent_id", "sentence", query, *weights, embedder).select(*keys, "sent_id", "score")
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("sent_id")).rowsBetween(Window.unboundedPreceding, 0)
     fits = split.join(scored, [*keys, "sent_id"]).withColumn("spent", F.sum(counter(F.col("sentence"))).over(order)).where(F.col("spent") <= F.col(target))
@@ -88,7 +89,7 @@ def compress_texts(
     live = live.withColumn("mid", F.greatest(F.lit(1), (F.col(target) * F.lit(float(overshoot))).cast("int")))
     picked = select_sentences(live, keys, text, query, "mid", counter, embedder, weights)
     both = live.join(picked, keys, "left").select(*keys, target, F.coalesce("selected", text).alias("text"), F.col("selected").isNotNull().alias("found"))
-    both = both.withColumn("size", counter(F.col("text")))
+    both = cut(both.withColumn("size", counter(F.col("text"))))
     done = both.where(F.col("found") & (F.col("size") <= F.col(target))).select(*keys, F.col("text").alias("compressed"))
     over = both.where(~(F.col("found") & (F.col("size") <= F.col(target))) & (F.col("size") > 0))
     over = over.select(*keys, "text", F.least(F.lit(1.0), F.greatest(F.lit(0.01), F.col(target) / F.col("size"))).alias("fraction"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnweave.functions.text import word_count
 from turnweave.functions.vectors import hashed_embeddings
+from turnweave.lineage import cut
 from turnweave.operators.allocate import allocate_tiers
 from turnweave.operators.assemble import assemble
 from turnweave.operators.condense import compress_texts
@@ -69,8 +70,9 @@ def score(turns: DataFrame, config: Config = Config()) -> DataFrame:
 def compress(turns: DataFrame, config: Config = Config()) -> DataFrame:
     """One report row per conversation of turns(conv_id, turn_id, role, content,
     token_count, query). Duplicates go first, so all counts are of survivors."""
-    assigned = assign_survivors(turns, ["conv_id"], "turn_id", "content", config.dedup_similarity_threshold, config.embedder)
-    alive = turns.join(assigned.where("turn_id = survivor").select("conv_id", "turn_id"), ["conv_id", "turn_id"], "left_semi")
+    turns = cut(turns)
+    assigned = cut(assign_survivors(turns, ["conv_id"], "turn_id", "content", config.dedup_similarity_threshold, config.embedder))
+    alive = cut(turns.join(assigned.where("turn_id = survivor").select("conv_id", "turn_id"), ["conv_id", "turn_id"], "left_semi"))
     scored = alive.join(score(alive, config), ["conv_id", "turn_id"], "left")
     if config.budget_fraction is None:
         whole = F.lit(config.token_budget)
@@ -78,7 +80,7 @@ def compress(turns: DataFrame, config: Config = Config()) -> DataFrame:
         total = turns.groupBy("conv_id").agg(F.greatest(F.lit(1), (F.sum("token_count") * F.lit(config.budget_fraction)).cast("int")).alias("whole"))
         scored, whole = scored.join(total, "conv_id"), F.col("whole")
     scored = scored.withColumn("budget", (whole * F.lit(config.budget_safety_margin)).cast("int"))
-    tiers = allocate_tiers(scored, config.preserve_recent_n, config.compression_ratio, config.max_recency_fraction)
+    tiers = cut(allocate_tiers(scored, config.preserve_recent_n, config.compression_ratio, config.max_recency_fraction))
     groups = merged_groups(assigned, ["conv_id"], "turn_id")
     options = {"embedder": config.embedder, "weights": (config.semantic_weight, config.lexical_weight)} if config.compressor is compress_texts else {}
     if config.compressor is compress_texts:
