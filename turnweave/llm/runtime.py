@@ -1,35 +1,20 @@
-"""Lineage cuts, size-checked broadcasts and grouped streaming for the operators."""
+"""Size-checked broadcasts and grouped streaming for the operators."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when its counted rows times its row width stay under this.
-BROADCAST_BYTES = 32 << 20
-
+from turnweave.lineage import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary folder of this machine where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="turnweave-")
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
+__all__ = ["BROADCAST_BYTES", "cut", "grouped", "shared_folder", "small"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from a reliable checkpoint: lineage ends here."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: A side of a join is broadcast only when its counted rows times its row width stay under this.
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
