@@ -56,6 +56,14 @@ def test_all_words_by_the_shuffle(spark):
     assert answer(spark, ROWS, hot_words=0) == brute(ROWS, 60.0)
 
 
+def test_filter_bound_drops_nothing(spark):
+    assert answer(spark, ROWS, max_filter_bytes=16 << 10) == brute(ROWS, 60.0)
+
+
+def test_many_groups(spark):
+    assert answer(spark, ROWS, max_filter_bytes=32 << 10, group_bytes=150) == brute(ROWS, 60.0)
+
+
 def test_nothing_to_learn_from(spark):
     rows = [(1, "a b", False), (2, None, False)]
     assert [r[:6] for r in answer(spark, rows)] == [("1", True, 3, 0, 0, 0.0), ("2", True, 1, 0, 0, 0.0)]

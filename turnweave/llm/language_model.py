@@ -2,20 +2,19 @@
 
 Method. Unigram and bigram counts are quantised on a roughly geometric scale
 and level q is stored by inserting the n-gram with each of 1..q into a Bloom
-filter. Workers hold the filter by broadcast and recover a count by probing
-1, 2, ... until the first miss; the probabilities are smoothed from those
-counts: the bigram estimate is drawn towards the add-one unigram estimate with
-``prior`` pseudo-counts.
-
-At scale. Counting is a shuffle whose volume follows the corpus: each 1 MB
-chunk sends the n-grams it holds, combined, to the filter segment of their
-hash; a segment is counted by one task and holds about ``segment_tokens``
-training tokens, whatever the corpus size. The filter is the only broadcast
-that depends on the corpus, and ``max_filter_bytes`` bounds it: the least
-quantisation level whose n-grams fit in it is the model's count cut-off (all
-n-grams where all fit). The exact unigram counts of the base score never travel
-whole: words with at least one 2**20th of all tokens, at most 2**20 of them,
-are broadcast; the others are joined by a shuffle and summed per text.
+filter. A count is recovered by probing 1, 2, ... until the first miss; the
+probabilities are smoothed from those counts: the bigram estimate is drawn
+towards the add-one unigram estimate with ``prior`` pseudo-counts.
+
+At scale. The filter grows with the corpus and nobody holds it whole: it is cut
+into segments by hash, each of about ``segment_tokens`` tokens, and every n-gram
+is in it at every size. Texts are dealt to groups of about ``group_bytes``. A
+group sends the distinct n-grams of its texts, with their training counts, to
+their segments; a segment's task adds them up, builds its filter and answers
+each group with the levels, in the order asked, and the exact unigram counts of
+the base score. The answers meet the group's texts by the number of the group.
+Every segment answers every group, so its sums of N and V arrive there too. The
+driver gets two numbers, the size of the texts, and nothing is broadcast.
 
 Edge cases. A null text is empty and scores its end token alone; a null id is
 in the training part; rows with equal ids or equal texts count one by one; an
@@ -24,17 +23,17 @@ empty training part gives c = N = V = 0. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm import bytetext as bt
 from turnweave.llm.minhash import binary
-from turnweave.llm.runtime import cut, grouped
+from turnweave.llm.runtime import grouped
 
 #: The hash of the end token, which also stands before the first word.
 END = np.uint64(0xE7D3C0FFEE15A11D)
@@ -75,70 +74,71 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _unigram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, first, sorted unigram hashes, bigram hashes, sorted bigram hashes) of a
+    group's texts; the order of the sorted ones is all that requests and answers share."""
+    _, _, padded, starts = next(bt.chunks(table.column("text"), 1 << 62))
+    tokens, before, first = sequences(padded, starts)
+    pairs = pair_hash(before, tokens)
+    return tokens, first, np.unique(bt.mix(tokens, 4)), pairs, np.unique(pairs)
+
+
+def _size_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, padded, starts in bt.chunks(_column(batch, "text")):
-            value, count = np.unique(sequences(padded, starts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["word", "c"])
+        for lo, hi, padded, starts in bt.chunks(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array([len(padded)]), pa.array([len(bt.words(padded, starts)[0]) + hi - lo])], names=["bytes", "tokens"])
 
 
-def _segment_blobs(hashes: np.ndarray, counts: np.ndarray, segments: int) -> pa.RecordBatch:
-    """Rows (segment, once, often) of sorted hashes for the segments that get any;
-    once holds the hashes of count 1, often (hash, count) pairs."""
+def _edges(hashes: np.ndarray, segments: int) -> np.ndarray:
+    """Where each segment begins in sorted hashes, and their number."""
     segment = ((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-    there = np.unique(segment)
-    single = counts == 1
-    blobs = []
-    for part in (single, ~single):
-        cuts = np.append(np.searchsorted(segment[part], there), int(part.sum()))
-        blobs.append((hashes[part], counts[part], cuts))
-    once = binary(blobs[0][0].tobytes(), np.diff(blobs[0][2]) * 8)
-    often = np.empty((len(blobs[1][0]), 2), np.uint64)
-    often[:, 0], often[:, 1] = blobs[1][0], blobs[1][1]
-    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), once, binary(often.tobytes(), np.diff(blobs[1][2]) * 16)], names=["segment", "once", "often"])
-
-
-def _bigram_batches(segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, padded, starts in bt.chunks(_column(batch, "text"), 4 << 20):
-                tokens, before, _ = sequences(padded, starts)
-                value, count = np.unique(pair_hash(before, tokens), return_counts=True)
-                yield _segment_blobs(value, count, segments)
+    return np.searchsorted(segment, np.arange(segments + 1, dtype=np.uint64))
 
-    return run
 
+def _request_batches(segments: int):
+    """Rows sorted by group to (group, segment, hashes and training counts of the
+    group's words and pairs there). Every group has a row for every segment."""
 
-def _unigram_blob_batches(segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = bt.mix(batch.column(0).to_numpy().view(np.uint64), 4)
-            order = np.argsort(hashes)
-            yield _segment_blobs(hashes[order], batch.column(1).to_numpy()[order], segments)
+        for table in grouped(batches, ["group"]):
+            tokens, first, word, pairs, pair = _whole(table)
+            learned = table.column("in_training").to_numpy().astype(bool)[bt.rows_of(first)]
+            columns = []
+            for known, each in ((word, bt.mix(tokens, 4)), (pair, pairs)):
+                count = np.bincount(np.searchsorted(known, each[learned]), minlength=len(known)).astype(np.int32)
+                n = np.diff(_edges(known, segments))
+                columns += [binary(known.tobytes(), n * 8), binary(count.tobytes(), n * 4)]
+            group = pa.array(np.full(segments, table.column("group")[0].as_py()))
+            yield pa.RecordBatch.from_arrays([group, pa.array(np.arange(segments, dtype=np.int32)), *columns], names=["group", "segment", "words", "word_counts", "pairs", "pair_counts"])
 
     return run
 
 
-def _level_batches(least: int):
-    """Sorted segment blobs to (segment, hashes, levels, held): n-grams of at
-    least ``least`` occurrences, and how many there are of each level."""
+def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(how many items each row has, the items of all rows)."""
+    offsets, data = bt.string_parts(column)
+    return np.diff(offsets) // np.dtype(kind).itemsize, np.frombuffer(data.tobytes(), kind)
+
+
+def _answer_batches(min_pairs: int, bits: int):
+    """Requests sorted by segment to (group, segment, exact word counts, levels that
+    the segment's filter tells of the words and pairs, the segment's N and V)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["segment"]):
-            once = np.frombuffer(bt.string_parts(table.column("once"))[1].tobytes(), np.uint64)
-            often = np.frombuffer(bt.string_parts(table.column("often"))[1].tobytes(), np.uint64).reshape(-1, 2)
-            hashes = np.concatenate([once, often[:, 0]])
-            counts = np.concatenate([np.ones(len(once), np.int64), often[:, 1].astype(np.int64)])
-            order = np.argsort(hashes)
-            hashes, counts = hashes[order], counts[order]
-            at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-            total = np.add.reduceat(counts, at) if len(at) else at
-            keep = total >= least
-            hashes, level = hashes[at[keep]], np.searchsorted(LEVELS, total[keep], "right")
-            held = np.bincount(level, minlength=len(LEVELS) + 1)
+            asked = []
+            for name, least in (("word", 1), ("pair", min_pairs)):
+                sizes, hashes = _joined(table.column(f"{name}s"), np.uint64)
+                known, at = np.unique(hashes, return_inverse=True)
+                total = np.bincount(at, _joined(table.column(f"{name}_counts"), np.int32)[1], len(known)).astype(np.int64)
+                asked.append((sizes, known, at, total, np.where(total >= least, np.searchsorted(LEVELS, total, "right"), 0)))
+            model = Filter.build(np.concatenate([x[1] for x in asked]), np.concatenate([x[4] for x in asked]), bits)
+            (n_words, word, at, total, _), (n_pairs, pair, pair_at, _, _) = asked
+            told = [binary(total[at].tobytes(), n_words * 8)]
+            told += [binary(model.levels(x).astype(np.uint8)[i].tobytes(), n) for x, i, n in ((word, at, n_words), (pair, pair_at, n_pairs))]
+            told += [pa.array(np.full(table.num_rows, x, np.int64)) for x in (total.sum(), (total > 0).sum())]
             yield pa.RecordBatch.from_arrays(
-                [table.column("segment").combine_chunks().slice(0, 1), pa.array([hashes.tobytes()]), pa.array([level.astype(np.uint8).tobytes()]), pa.array([held.tolist()])],
-                names=["segment", "hashes", "levels", "held"],
+                [table.column("group").combine_chunks(), table.column("segment").combine_chunks(), *told], names=["group", "segment", "counts", "levels", "pair_levels", "tokens", "distinct"]
             )
 
     return run
@@ -153,6 +153,16 @@ class Filter:
     def __init__(self, words: np.ndarray, offsets: np.ndarray):
         self.words, self.offsets = words, offsets
 
+    @classmethod
+    def build(cls, hashes: np.ndarray, level: np.ndarray, bits: int) -> Filter:
+        """One segment's filter. Unigrams and bigrams share its words; their
+        hashes are seeded apart."""
+        words = np.zeros(-(-int(level.sum()) * bits // 64), np.uint64)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            place, mask = cls.place(hashes[level >= q], q, np.uint64(len(words)))
+            np.bitwise_or.at(words, place.astype(np.int64), mask)
+        return cls(words, np.array([0, len(words)]))
+
     @staticmethod
     def place(hashes: np.ndarray, level: int | np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word within the segment, bit mask) of the entries."""
@@ -177,80 +187,38 @@ class Filter:
         return out
 
 
-def _filter_batches(cutoff: int, bits: int):
-    """Sorted (segment, hashes, levels) rows to each segment's words. Unigrams and
-    bigrams of a segment share its words; their hashes are seeded apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["segment"]):
-            hashes = np.frombuffer(bt.string_parts(table.column("hashes"))[1].tobytes(), np.uint64)
-            level = bt.string_parts(table.column("levels"))[1].astype(np.int64)
-            hashes, level = hashes[level >= cutoff], level[level >= cutoff]
-            words = np.zeros(-(-int(level.sum()) * bits // 64), np.uint64)
-            for q in range(1, int(level.max(initial=0)) + 1):
-                place, mask = Filter.place(hashes[level >= q], q, np.uint64(len(words)))
-                np.bitwise_or.at(words, place.astype(np.int64), mask)
-            yield pa.RecordBatch.from_arrays([table.column("segment").combine_chunks().slice(0, 1), pa.array([words.tobytes()])], names=["segment", "words"])
-
-    return run
-
-
-def _log_table(value: np.ndarray) -> np.ndarray:
-    return np.log10(value + 1.0)
-
-
-def _score_batches(shared, total: int, distinct: int, prior: float):
-    """(key columns, n_tokens, known and log10(c + 1) over hot words, score)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot_words, hot_counts = shared.value
-        for batch in batches:
-            for lo, hi, padded, starts in bt.chunks(_column(batch, "text")):
-                tokens, before, first = sequences(padded, starts)
-                word, at = np.unique(tokens, return_inverse=True)
-                own = ESTIMATE[model.levels(bt.mix(word, 4))]
-                pair, pair_at = np.unique(pair_hash(before, tokens), return_inverse=True)
-                both = ESTIMATE[model.levels(pair)]
-                alone = (own + 1.0) / (total + distinct + 1.0)
-                context = np.append(own[np.searchsorted(word, END)], own[at][:-1])
-                context[first[:-1]] = own[np.searchsorted(word, END)]
-                joint = np.minimum(both[pair_at], context)
-                p = (joint + prior * alone[at]) / (context + prior)
-                place = np.searchsorted(hot_words, word)
-                place[place == len(hot_words)] = 0
-                is_hot = hot_words[place] == word if len(hot_words) else np.zeros(len(word), bool)
-                log = np.where(is_hot, _log_table(hot_counts[place].astype(float)) if len(hot_words) else 0.0, 0.0)
-                cuts = first[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
-                    + [pa.array(np.diff(first)), pa.array(np.add.reduceat(is_hot[at].astype(np.int64), cuts)), pa.array(np.add.reduceat(log[at], cuts)), pa.array(np.add.reduceat(np.log10(p), cuts))],
-                    names=[*batch.schema.names[:-1], "n_tokens", "hot_known", "hot_log", "score"],
-                )
-
-    return run
-
-
-def _rare_batches(shared):
-    """(k1, k2, word, tf) of the words that are not hot, and one null word a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, hot_words, _ = shared.value
-        for batch in batches:
-            keys = [batch.column(i).to_numpy() for i in (0, 1)]
-            for lo, hi, padded, starts in bt.chunks(batch.column(2)):
-                tokens, _, first = sequences(padded, starts)
-                row = bt.rows_of(first)
-                if len(hot_words):
-                    place = np.minimum(np.searchsorted(hot_words, tokens), len(hot_words) - 1)
-                    rare = hot_words[place] != tokens
-                    row, tokens = row[rare], tokens[rare]
-                row, word, tf = bt.distinct_per_row(row, tokens)
-                row = np.append(row, np.arange(hi - lo)) + lo
-                mask = np.arange(len(row)) >= len(word)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(np.append(word.view(np.int64), np.zeros(hi - lo, np.int64)), mask=mask), pa.array(np.append(tf, np.ones(hi - lo, np.int64)))],
-                    names=["k1", "k2", "word", "tf"],
-                )
+def _scores(prior: float):
+    """A group's rows and the answers to it to the rows of score_texts."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("segment")
+        tokens, first, word, pairs, pair = _whole(rows)
+        counts, own, both = (_joined(answers.column(c), kind)[1] for c, kind in (("counts", np.int64), ("levels", np.uint8), ("pair_levels", np.uint8)))
+        if len(counts) != len(word) or len(both) != len(pair):
+            raise RuntimeError("the rows of a group changed between its requests and the answers: docs is not repeatable")
+        total, distinct = (int(np.sum(answers.column(c).to_numpy())) for c in ("tokens", "distinct"))
+        own, both = ESTIMATE[own], ESTIMATE[both]
+        at = np.searchsorted(word, bt.mix(tokens, 4))
+        end = own[at[-1]]  # the last token of a text is END
+        alone = (own + 1.0) / (total + distinct + 1.0)
+        context = np.append(end, own[at][:-1])
+        context[first[:-1]] = end
+        joint = np.minimum(both[np.searchsorted(pair, pairs)], context)
+        p = (joint + prior * alone[at]) / (context + prior)
+        base = np.log10(counts + 1.0) - math.log10(total + distinct + 1)
+        cuts, n = first[:-1], len(first) - 1
+        learned = rows.column("in_training").to_numpy().astype(bool)
+        return pa.table(
+            {
+                "doc_id": rows.column("doc_id"),
+                "held_out": pa.array(~learned),
+                "n_tokens": pa.array(np.diff(first)),
+                "n_known": pa.array(np.add.reduceat((counts > 0)[at].astype(np.int64), cuts)),
+                "train_tokens": pa.array(np.full(n, total)),
+                "base_score": pa.array(np.add.reduceat(base[at], cuts)),
+                "score": pa.array(np.add.reduceat(np.log10(p), cuts)),
+            }
+        )
 
     return run
 
@@ -266,61 +234,31 @@ def score_texts(
     hot_words: int = 1 << 20,
     text: str = "text",
     ident: str = "doc_id",
+    group_bytes: int = 4 << 20,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     every row; the model learns from the rows where ``training`` holds.
 
     min_pairs: bigrams seen less often are left to the unigram estimate.
     prior: pseudo-counts of the unigram estimate in each context.
+    max_filter_bytes: of one segment's filter; more n-grams make more segments.
+    hot_words: has no effect any more, all words are counted by the shuffle.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(ident).alias("doc_id"), F.coalesce(training, F.lit(True)).alias("in_training"), F.coalesce(text, F.lit("")).alias("text"))
-    learned = rows.where("in_training").select("text")
-    counts = cut(learned.mapInArrow(_unigram_batches, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    segments = 1 + total // segment_tokens
-    blobs = "segment int, once binary, often binary"
-
-    def levels(df: DataFrame, least: int) -> DataFrame:
-        dealt = df.repartition(segments, "segment").sortWithinPartitions("segment")
-        return cut(dealt.mapInArrow(_level_batches(least), "segment int, hashes binary, levels binary, held array<long>"))
-
-    single = levels(counts.mapInArrow(_unigram_blob_batches(segments), blobs), 1)
-    double = levels(learned.mapInArrow(_bigram_batches(segments), blobs), min_pairs)
-    both = single.union(double)
-    held = {r.level: r.n for r in both.select(F.posexplode("held").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    entries = np.cumsum([held.get(q, 0) * q for q in range(len(LEVELS), 0, -1)])[::-1]
-    cutoff = 1 + int(np.argmax(entries * bits_per_entry <= 8 * max_filter_bytes))
-    merged = both.select("segment", "hashes", "levels").repartition(segments, "segment").sortWithinPartitions("segment")
-    built = merged.mapInArrow(_filter_batches(cutoff, bits_per_entry), "segment int, words binary").toArrow().sort_by("segment")
-    sizes = np.zeros(segments, np.int64)
-    sizes[built.column("segment").to_numpy()] = pa.compute.binary_length(built.column("words")).to_numpy() // 8
-    words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in built.column("words"))])
-    model = Filter(words, np.append(0, np.cumsum(sizes)))
-    del built
-    hot = counts.where(F.col("c") * hot_words >= F.lit(max(total, 1))).toPandas().sort_values("word", key=lambda x: x.to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((model, hot["word"].to_numpy().view(np.uint64), hot["c"].to_numpy()))
-    keyed = rows.select("doc_id", "in_training", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").cast("long").alias("k2"), "text")
-    kind = docs.schema[ident].dataType.simpleString()
-    scored = keyed.mapInArrow(
-        _score_batches(shared, total, distinct, prior), f"doc_id {kind}, in_training boolean, k1 long, k2 long, n_tokens long, hot_known long, hot_log double, score double"
-    )
-    rare = keyed.select("k1", "k2", "text").mapInArrow(_rare_batches(shared), "k1 long, k2 long, word long, tf long")
-    seen = counts.where(F.col("c") * hot_words < F.lit(max(total, 1)))
-    rare = rare.join(seen, "word", "left").groupBy("k1", "k2")
-    #: A text that stands in several rows was summed as often.
-    copies = F.sum(F.when(F.col("word").isNull(), F.col("tf")))
-    rare = rare.agg(
-        (F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)) / copies).cast("long").alias("rare_known"),
-        (F.sum(F.when(F.col("c").isNotNull(), F.col("tf") * F.log10(F.col("c") + 1)).otherwise(0.0)) / copies).alias("rare_log"),
-    )
-    base = F.col("hot_log") + F.col("rare_log") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return scored.join(rare, ["k1", "k2"]).select(
-        "doc_id",
-        (~F.col("in_training")).alias("held_out"),
-        "n_tokens",
-        (F.col("hot_known") + F.col("rare_known")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        "score",
+    sizes = rows.select("text").mapInArrow(_size_batches, "bytes long, tokens long")
+    size, tokens = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "tokens"))).first()
+    # an n-gram's level is at most its count, so a token makes two entries at most
+    segments = 1 + max(tokens // segment_tokens, 2 * tokens * bits_per_entry // (8 * max_filter_bytes))
+    groups = 1 + size // group_bytes
+    # the partition's number parts rows of equal id and text, and does not depend on the order of rows
+    group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups))
+    dealt = rows.withColumn("group", group).repartition(1 + groups // 2, "group")
+    requests = dealt.sortWithinPartitions("group").mapInArrow(_request_batches(segments), "group long, segment int, words binary, word_counts binary, pairs binary, pair_counts binary")
+    answers = (
+        requests.repartition(segments, "segment")
+        .sortWithinPartitions("segment")
+        .mapInArrow(_answer_batches(min_pairs, bits_per_entry), "group long, segment int, counts binary, levels binary, pair_levels binary, tokens long, distinct long")
     )
+    kind = docs.schema[ident].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return dealt.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_scores(prior), schema)
