@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import Row
 
-from turnweave.llm.quality import quality
+from turnweave.llm.quality import cleaned, quality
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
@@ -47,5 +47,19 @@ def test_against_brute_force(spark):
     assert answer(spark, data) == sorted(expected, key=str)
 
 
+def test_frequent_lines_are_removed(spark):
+    footer = "Click  here ©\tfor more"
+    data = [(i, "Ünï own%d\n%s\nnext %d 🎉\n\n%s" % (i, footer.upper() if i % 2 else footer, i, footer), "a") for i in range(25)]
+    data += [(None, footer + "\n", "a"), (None, footer + "\n", "a"), (30, None, "a"), (31, footer + "\nx", "b"), (32, "x", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in cleaned(docs).collect()]
+    expected = [(i, "Ünï own%d\nnext %d 🎉\n\n" % (i, i)) for i in range(25)] + [(None, ""), (None, ""), (30, None), (31, footer + "\nx"), (32, "x")]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    texts = {d: (t or "").encode() for d, t, _ in data}
+    for r in quality(docs).collect():
+        cut = [texts[r.doc_id][s.begin : s.end] for s in r.removed]
+        assert r.n_boilerplate_words == sum(len(x.split()) for x in cut) and len(cut) == (2 if (r.doc_id or 0) < 25 and r.doc_id is not None else r.doc_id is None)
+
+
 def test_empty(spark):
     assert answer(spark, []) == []

@@ -58,7 +58,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_table(spark, sf_dir, "documents"))
+    return quality.quality(_table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
