@@ -9,7 +9,7 @@ import __spark_entry__
 from turnweave.operators.validate import summarize_validation, validate_lines
 from turnweave.plans.adapter import REMOVE_ALL, node
 from turnweave.plans.compress import Config
-from turnweave.plans.evaluate import category_pivot, grid, summarize, timed
+from turnweave.plans.evaluate import category_pivot, grid, summarize, sweep, timed
 from turnweave.sources.jsonl import numbered_lines, read_cases, tolerant_lines, write_csv
 from turnweave.streaming.incremental import compress_stream
 
@@ -100,6 +100,22 @@ def test_summary_rows(spark):
     assert timed(lambda: 1 / 0)[2].startswith("ZeroDivisionError")
 
 
+def test_sweep_keeps_failures(spark):
+    def broken(turns):
+        raise RuntimeError("no scores")
+
+    rows = [(c, i, "user", "w%d says yes" % i, 3, "yes") for c in (1, 2) for i in range(6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn_id int, role string, content string, token_count int, query string")
+    cases = spark.createDataFrame([(1, "a", "recency", "w5 says"), (2, "b", "lexical", "w1 says")], "conv_id long, case_id string, category string, gold_answer string")
+    out = sweep(turns, cases, methods=("last_n", "pipeline"), budgets=(0.3, 0.5), config=Config(scorer=broken))
+    got = {(r.case_id, r.method, r.budget_frac): r for r in out.collect()}
+    assert len(got) == 8 and all(r.latency_ms > 0 for r in got.values())
+    assert {(r.error, r.compressed_tokens, r.evidence_recall, r.within_budget) for k, r in got.items() if k[1] == "pipeline"} == {("RuntimeError: no scores", 0, 0.0, None)}
+    assert {(r.error, r.within_budget) for k, r in got.items() if k[1] == "last_n"} == {(None, 1)} and got["a", "last_n", 0.5].evidence_recall == 1.0
+    total = {(r.method, r.budget_frac): (r.n_errors, r.mean_latency_ms > 0) for r in summarize(out).where("category = 'ALL'").collect()}
+    assert total == {("last_n", 0.3): (0, True), ("last_n", 0.5): (0, True), ("pipeline", 0.3): (2, True), ("pipeline", 0.5): (2, True)}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     path = tmp_path / "cases.jsonl"
     path.write_text(json.dumps(case()) + "\n\n```\n" + json.dumps(case(case_id="b")) + "\n")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.functions.text import category_of_run, word_count
+from turnweave.lineage import cut
 from turnweave.operators.baselines import METHODS
 from turnweave.operators.metrics import answer_present, compression_factor, evidence_recall, messages_text, token_reduction_pct
 from turnweave.plans.compress import Config, compress
@@ -29,40 +30,42 @@ def sweep(turns: DataFrame, cases: DataFrame, methods=("full_context", "last_n",
     """A row per case, method and budget.
 
     turns: (conv_id, turn_id, role, content, token_count, query); cases:
-    (conv_id, case_id, category, gold_answer). Baselines run over the grid in
-    one pass: a budget column, not a loop of jobs; the pipeline takes a plan per
-    budget. Methods that keep nothing of a case still have a row of it.
+    (conv_id, case_id, category, gold_answer). Each method and budget is one job
+    over all conversations; latency_ms is its wall time divided by its cases.
+    Methods that keep nothing of a case still have a row of it. So do those that
+    fail: error says why, nothing counts as kept, and within_budget is null.
     """
     if not 0 < margin <= 1:
         raise ValueError("margin must be in (0, 1]")
     total = turns.groupBy("conv_id").agg(F.sum("token_count").cast("long").alias("original_tokens"))
-    base = cases.join(total, "conv_id")
+    turns = cut(turns)
+    base = cut(cases.join(total, "conv_id"))
+    n_cases = max(1, base.count())
     parts = []
-    for method in methods:
-        fractions = [b for m, b in grid([method], budgets)]
-        frame = base.withColumns({"method": F.lit(method), "budget_frac": F.explode(F.array(*[F.lit(float(b)) for b in fractions]))})
+    for method, b in grid(list(methods), budgets):
+        frame = base.withColumns({"method": F.lit(method), "budget_frac": F.lit(float(b))})
         frame = frame.withColumn("budget_tokens", F.greatest(F.lit(1), (F.col("budget_frac") * F.col("original_tokens")).cast("int")))
         frame = frame.withColumn("effective_budget", (F.col("budget_tokens") * F.lit(float(margin))).cast("int"))
-        if method == "pipeline":
-            kept = None
-            for b in fractions:
+
+        def run(method=method, b=b, frame=frame) -> DataFrame:
+            if method == "pipeline":
                 one = compress(turns, (config or Config()).__class__(**{**(config or Config()).__dict__, "budget_fraction": b, "budget_safety_margin": margin}))
-                one = one.select("conv_id", F.lit(float(b)).alias("budget_frac"), F.transform("messages", lambda m: m["content"]).alias("contents"), F.col("compressed_tokens"))
-                kept = one if kept is None else kept.unionByName(one)
+                return cut(one.select("conv_id", F.transform("messages", lambda m: m["content"]).alias("contents"), F.col("compressed_tokens")))
+            left = METHODS[method](turns.join(frame.select("conv_id", F.col("effective_budget").alias("budget")).distinct(), "conv_id")).groupBy("conv_id")
+            return cut(left.agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_id", "content"))), lambda x: x["content"]).alias("contents"), F.sum("token_count").cast("long").alias("compressed_tokens")))
+
+        kept, milliseconds, error = timed(run)
+        if error is None:
+            frame = frame.join(kept, "conv_id", "left")
         else:
-            # A budget is a conversation of its own to the window functions.
-            key = F.struct("conv_id", "budget_frac")
-            spread = turns.join(frame.select("conv_id", "budget_frac", F.col("effective_budget").alias("budget")), "conv_id").withColumn("conv_id", key)
-            left = METHODS[method](spread).groupBy("conv_id")
-            left = left.agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_id", "content"))), lambda x: x["content"]).alias("contents"), F.sum("token_count").cast("long").alias("compressed_tokens"))
-            kept = left.select("conv_id.*", "contents", "compressed_tokens")
-        parts.append(frame.join(kept, ["conv_id", "budget_frac"], "left"))
+            frame = frame.withColumns({"contents": F.lit(None).cast("array<string>"), "compressed_tokens": F.lit(None).cast("long")})
+        parts.append(frame.withColumns({"latency_ms": F.lit(milliseconds / n_cases), "error": F.lit(error).cast("string")}))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     every = every.withColumn("compressed_tokens", F.coalesce("compressed_tokens", F.lit(0).cast("long")))
     recall = evidence_recall(messages_text(F.coalesce("contents", F.array().cast("array<string>"))), F.col("gold_answer"))
-    every = every.withColumn("recall", recall)
+    every = every.withColumn("recall", F.when(F.col("error").isNotNull(), 0.0).otherwise(recall))
     return every.select(
         "case_id",
         category_of_run(F.col("category")).alias("category"),
@@ -76,7 +79,9 @@ def sweep(turns: DataFrame, cases: DataFrame, methods=("full_context", "last_n",
         F.bround(compression_factor(F.col("original_tokens"), F.col("compressed_tokens")), 4).alias("compression_ratio"),
         F.bround("recall", 4).alias("evidence_recall"),
         answer_present(F.col("recall")).alias("answer_present"),
-        F.when(F.col("method") != "full_context", (F.col("compressed_tokens") <= F.col("effective_budget")).cast("int")).alias("within_budget"),
+        F.when((F.col("method") != "full_context") & F.col("error").isNull(), (F.col("compressed_tokens") <= F.col("effective_budget")).cast("int")).alias("within_budget"),
+        "latency_ms",
+        "error",
     )
 
 

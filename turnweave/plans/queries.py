@@ -187,7 +187,7 @@ def _sweep(spark, sf_dir):
 
 
 def eval_results(spark, sf_dir):
-    return _sweep(spark, sf_dir).drop("compression_ratio")
+    return _sweep(spark, sf_dir).drop("compression_ratio", "latency_ms", "error")
 
 
 def eval_summary(spark, sf_dir):
@@ -206,7 +206,7 @@ def eval_rate_distortion(spark, sf_dir):
 def eval_pipeline(spark, sf_dir):
     rows = asked(spark, sf_dir)
     cases = derived_cases(rows)
-    return summarize(sweep(rows, cases, methods=("pipeline",), budgets=(0.3, 0.5)))
+    return summarize(sweep(rows, cases, methods=("pipeline",)))
 
 
 def leakage_check(spark, sf_dir):
