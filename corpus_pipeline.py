@@ -5,9 +5,9 @@ returns a DataFrame; run() writes it to the shared folder and reads it again as
 the next stage's docs. All stages but the last return the columns of documents.
 
 Edge cases. Rows with a null text pass every filter (they hold nothing to
-reject). Rows with equal ids stay or go together in near-duplicate removal; a
-row without an id is never dropped there, for no id can name it. Empty tables
-pass through; further columns of documents are dropped at the first stage.
+reject). Near-duplicate removal judges rows by id and text: one row of a group
+stays, also where ids repeat or are null. Rows without a word are in no group.
+Empty tables pass through; further columns of documents are dropped at the first stage.
 """
 
 from __future__ import annotations
@@ -32,10 +32,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least id."""
-    judged = minhash.near_duplicates(docs)
-    dropped = cut(judged.where("not kept").select("doc_id").distinct())
-    return docs.join(small(dropped, 24), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, that of the least id; null ids last."""
+    keyed = docs.select("*", *decontaminate.row_keys(F.col("doc_id"), F.col("text")))
+    judged = minhash.near_duplicates(keyed, keep=["k1", "k2"]).where("near_group is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    rows = cut(judged.groupBy("near_group", "k1", "k2").agg(F.min(order).alias("row"), F.count("*").alias("n")))
+    best = rows.groupBy("near_group").agg(F.min("row").alias("best"))
+    judged = rows.join(best, "near_group").select("k1", "k2", (F.col("row") == F.col("best")).alias("first"), "n")
+    dropped = cut(judged.where("not first").select("k1", "k2").distinct())
+    again = cut(judged.where("first and n > 1").select("k1", "k2").distinct())
+    left = keyed.join(small(dropped, 32), ["k1", "k2"], "left_anti")
+    once = left.join(small(again, 32), ["k1", "k2"], "left_anti").select(*COLUMNS)
+    return once.unionByName(left.join(small(again, 32), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*COLUMNS))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

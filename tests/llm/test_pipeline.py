@@ -52,3 +52,12 @@ def test_stages_take_effect(spark, folder, tmp_path):
     assert set(seen[4]) == set(seen[3]) and all(r.taken <= 3 * r.size for r in seen[4].values())
     got = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, path).collect()}
     assert got == {i: r.taken for i, r in seen[4].items()}
+
+
+def test_one_row_of_a_group_stays(spark):
+    long = [" ".join("%s%d" % (c, i) for i in range(40)) for c in "abcd"]
+    rows = [(1, long[0]), (1, long[0]), (1, long[0]), (None, long[1]), (None, long[1]), (None, long[1] + " more"), (2, long[2]), (3, long[2] + " more"), (3, long[3]), (5, None), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got if r.text and r.doc_id) == [("1", long[0]), ("2", long[2]), ("3", long[3])]
+    assert sum(bool(r.text) for r in got) == 4 and sum(not r.text for r in got) == 3

@@ -98,7 +98,7 @@ def _sequence_keys(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch_batches(width: int, bands: int, rows: int, text: str, ident: str):
+def _sketch_batches(width: int, bands: int, rows: int, text: str, ident: str, passed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ident))
@@ -124,8 +124,9 @@ def _sketch_batches(width: int, bands: int, rows: int, text: str, ident: str):
                         binary(keys.tobytes(), np.full(hi - lo, 16)),
                         binary(sketch.tobytes(), np.where(where >= 0, bands * rows, 0)),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_band)).astype(np.int32)), pa.array(band.view(np.int64).ravel())),
+                        *(c.slice(lo, hi - lo) for c in batch.columns[2:]),
                     ],
-                    names=["doc_id", "n_shingles", "node", "sketch", "bands"],
+                    names=["doc_id", "n_shingles", "node", "sketch", "bands", *passed],
                 )
 
     return run
@@ -137,12 +138,13 @@ def binary(data: bytes, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-def sketches(docs: DataFrame, width: int = 4, bands: int = 32, rows: int = 4, text: str = "text", ident: str = "doc_id") -> DataFrame:
+def sketches(docs: DataFrame, width: int = 4, bands: int = 32, rows: int = 4, text: str = "text", ident: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """doc_id, n_shingles, node (key of the word sequence), sketch (a byte per
-    coordinate), bands (LSH keys) of every document."""
+    coordinate), bands (LSH keys) of every document, and keep's columns."""
     kind = docs.schema[ident].dataType.simpleString()
     schema = f"doc_id {kind}, n_shingles long, node binary, sketch binary, bands array<long>"
-    return docs.select(F.col(ident), F.col(text)).mapInArrow(_sketch_batches(width, bands, rows, text, ident), schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep or [])
+    return docs.select(F.col(ident), F.col(text), *(keep or [])).mapInArrow(_sketch_batches(width, bands, rows, text, ident, keep or []), schema)
 
 
 def _set_batches(width: int):
@@ -220,15 +222,18 @@ def near_duplicates(
     block_shingles: int = 1 << 19,
     text: str = "text",
     ident: str = "doc_id",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the
-    row's distinct text) for each row of docs.
+    row's distinct text) for each row of docs; with keep also its columns and
+    near_group, which rows of one component share whatever their ids (null for
+    rows without a word).
 
     component_id is the least id reachable over links of 100 * |A and B| >=
     percent * |A or B|; kept marks the row that names its component.
     block_shingles bounds the sets that one task of round 2 holds.
     """
-    sketch = cut(sketches(docs, width, bands, rows, text, ident))
+    sketch = cut(sketches(docs, width, bands, rows, text, ident, keep))
     nodes = cut(
         sketch.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")).where("n > 0")
     )
@@ -268,7 +273,8 @@ def near_duplicates(
     named = root.join(nodes.select("node", "low"), "node")
     least = named.groupBy("root").agg(F.min("low").alias("component"))
     count = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    joined = cut(named.join(least, "root").join(count, "node").select("node", "component", "n_links"))
-    out = sketch.select("doc_id", "n_shingles", "node").join(nodes.select("node", "low"), "node", "left").join(small(joined, 48), "node", "left")
+    joined = cut(named.join(least, "root").join(count, "node").select("node", "root", "component", "n_links"))
+    out = sketch.select("doc_id", "n_shingles", "node", *(keep or [])).join(nodes.select("node", "low"), "node", "left").join(small(joined, 64), "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "low"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    passed = [F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("near_group"), *keep] if keep else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *passed)
