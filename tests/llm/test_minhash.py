@@ -1,3 +1,5 @@
+import inspect
+import math
 import random
 import re
 
@@ -93,3 +95,12 @@ def test_circulant_estimate():
     for i, part in enumerate((a, b)):
         alone = minhash.signatures(part, np.array([0, len(part)]), 512)
         assert (alone[0] == sig[i]).all()
+
+
+def test_sketch_floor_loses_no_links():
+    """The chance that a link of exactly 0.8 stays under the floor is far below that of the bands."""
+    option = {k: p.default for k, p in inspect.signature(minhash.near_duplicates).parameters.items()}
+    n = option["bands"] * option["rows"]
+    low = math.ceil(n * option["sketch_floor"])
+    tail = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(low))
+    assert tail < 0.01 * (1 - 0.8 ** option["rows"]) ** option["bands"]
