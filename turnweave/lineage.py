@@ -3,22 +3,63 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of this machine where that
-    is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset and Spark runs in one process
+    (tests), a temporary folder takes its place; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="turnweave-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside leave no shuffle files behind when they end."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREED)
+        else:
+            spark.conf.set(_FREED, before)
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from a reliable checkpoint. What several branches of
-    a plan read is computed once, and a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, read from a table written to the shared folder. What
+    several branches of a plan read is computed once, and a lost executor costs
+    no recomputation. The table goes with discard(), or when the application ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        df.write.parquet(folder)
+    path, system = _path(spark, folder)
+    system.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.cut_folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by cut() that nothing reads any more."""
+    for table in tables:
+        path, system = _path(table.sparkSession, table.cut_folder)
+        system.delete(path, True)
