@@ -22,9 +22,9 @@ def brute(rows, length):
     return sorted(out)
 
 
-def answer(spark, rows, length, q):
+def answer(spark, rows, length, q, passage=None):
     docs = spark.createDataFrame([Row(doc_id=d, text=t, open="x", k1=1, name="n") for d, t in rows], "doc_id long, text string, open string, k1 int, name string")
-    got = repeats.remove_repeats(docs, length, q).collect()
+    got = repeats.remove_repeats(docs, length, q, passage).collect()
     return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
 
 
@@ -64,3 +64,25 @@ def test_larger_windows_than_blocks(spark):
 def test_empty(spark):
     assert answer(spark, [], 40, 14) == []
     assert answer(spark, [(1, "a" * 41)], 40, 14) == brute([(1, "a" * 41)], 40)
+
+
+def covered(rows, length):
+    return {d: n for d, _, n, _, _ in brute(rows, length)}
+
+
+def test_shorter_passages_beside(spark):
+    rows = corpus(3, 60, 700) + [(200, "ab" * 200), (201, "ab" * 60 + "c" + "ab" * 70), (202, None)]
+    assert answer(spark, rows, 70, 14, 40) == brute(rows, 70)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {str(r.doc_id): r.n_passage_bytes for r in repeats.remove_repeats(docs, 70, 14, 40).collect()}
+    assert got == covered(rows, 40)
+
+
+def test_a_text_over_one_chunk(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefgh ijk", k=1_300_000))
+    piece = "".join(rng.choices("xyz", k=500))
+    rows = [(1, long[:600_000] + piece + long[600_000:]), (2, "head " + piece + " tail"), (3, long[1_000_000:1_000_600]), (4, "x" * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()}
+    assert got == {1: (1100, 2), 2: (500, 1), 3: (600, 1), 4: (0, 0)}

@@ -9,9 +9,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.lineage import cut, shared_folder
+from turnweave.lineage import cut, discard, shared_folder
 
-__all__ = ["BROADCAST_BYTES", "cut", "grouped", "shared_folder", "small"]
+__all__ = ["BROADCAST_BYTES", "cut", "discard", "grouped", "shared_folder", "small"]
 
 #: A side of a join is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
@@ -19,7 +19,7 @@ BROADCAST_BYTES = 32 << 20
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted size allows it. df must be cheap
-    to count (a checkpoint); otherwise it is left to a shuffled join."""
+    to count (a table of cut()); otherwise it is left to a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
