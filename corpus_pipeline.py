@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from turnweave.llm import decontaminate, minhash, mixing, repeats, toxicity
 from turnweave.llm.runtime import cut, shared_folder, small
 
+#: Repeated passages of some 50 words go: nearly all runs of 51 words have more bytes.
+PASSAGE_BYTES = 240
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -47,17 +49,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that stand in them twice or elsewhere."""
-    left = repeats.remove_repeats(docs, keep=["lang", "source", "n_chars", F.col("text").isNull().alias("no_text")])
+    """All documents, without the passages of PASSAGE_BYTES that stand in them twice or elsewhere."""
+    left = repeats.remove_repeats(docs, PASSAGE_BYTES, keep=["lang", "source", "n_chars", F.col("text").isNull().alias("no_text")])
     text = F.when(~F.col("no_text"), F.col("kept"))
     chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
     return left.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
+    """Documents that hold no window of a benchmark item: 13 words in a row, or a shorter item whole."""
     judged = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dropped = cut(judged.where("contaminated").select("k1", "k2").distinct())
+    dropped = cut(judged.where("n_hit > 0").select("k1", "k2").distinct())
     keyed = docs.select("*", *decontaminate.row_keys(F.col("doc_id"), F.col("text")))
     return keyed.join(small(dropped, 32), ["k1", "k2"], "left_anti").select(*COLUMNS)
 
