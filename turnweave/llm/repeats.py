@@ -20,8 +20,9 @@ of each settled bucket that shares an open core.
 At scale. Each round counts buckets by aggregates with map-side partials and
 keeps only what is still open, so a passage that every document has is no hot
 key and no bucket is ever gathered in a task. Only the anchors of one text meet
-in a task. Texts are read again in the two last rounds by their keys, by a
-shuffled join whatever the size; tables that are done with are deleted. Memory
+in a task. Texts are bucketed by their keys once, so that the
+later rounds, which read them again, move only the lists of what is open;
+tables that are done with are deleted. Memory
 is bounded by a chunk of texts (one text, if it is longer). Names are 64-bit
 hashes: of n of them, n * n / 2**65 pairs are expected to collide.
 
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm import bytetext as bt
-from turnweave.llm.runtime import cut, discard
+from turnweave.llm.runtime import bucketed, cut, discard
 
 _BLOCK = 16
 #: Bits of a place in a text, in the packed values of which an anchor is the least.
@@ -323,12 +324,12 @@ def repeated_windows(rows: DataFrame, length: int, q: int, within: tuple[DataFra
         raise ValueError(f"q must be positive, at most length, and at most {1 << _WIDTH} or near length")
     rows = rows.select("k1", "k2", "text")
     names = "name long, hull long, k1 long, k2 long, at int, lo int, hi int, weight int"
-    with_open = lambda open_: rows.join(open_, ["k1", "k2"]).select("k1", "k2", "text", "open")
+    with_open = lambda open_: rows.join(open_.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "open")
     source = rows if within is None else with_open(within[0])
     found = cut(source.mapInArrow(_anchor_batches(length, q, within and within[1]), "name long, k1 long, k2 long, part int, place long"))
     many = cut(found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     key = ["k1", "k2", "part", "place"]
-    left = found.join(many, "name", "left_semi").groupBy(*key, "name").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"))
+    left = found.join(many, "name", "left_semi").groupBy(*key).agg(F.min("name").alias("name"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"))
     units = cut(left.repartition("k1", "k2").sortWithinPartitions(*key).mapInArrow(_refine_batches(length, q), names))
     discard(found, many)
     first, edges, used = _settle(units)
@@ -360,7 +361,7 @@ def remove_repeats(
         raise ValueError("passage must not be longer than length")
     extra = list(keep or [])
     keys = [F.xxhash64(F.col(ident), F.coalesce(text, F.lit(""))).alias("k1"), F.hash(F.coalesce(text, F.lit(""))).cast("long").alias("k2")]
-    rows = docs.select(F.col(ident).alias("doc_id"), *extra, *keys, F.coalesce(text, F.lit("")).alias("text"))
+    rows = bucketed(docs.select(F.col(ident).alias("doc_id"), *extra, *keys, F.coalesce(text, F.lit("")).alias("text")), "k1", "k2")
     found = repeated_windows(rows, passage, q if q and passage == length else -(-(passage + 2) // 3))
     if passage == length:
         found = found.withColumn("passages", F.col("open"))
@@ -370,4 +371,4 @@ def remove_repeats(
     kept = ["doc_id", *rows.columns[1 : 1 + len(extra)]]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, n_passage_bytes long"
-    return rows.join(found, ["k1", "k2"], "left").select(*kept, "text", "open", "passages").mapInArrow(_removal_batches(length, passage, kept), schema)
+    return rows.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").select(*kept, "text", "open", "passages").mapInArrow(_removal_batches(length, passage, kept), schema)

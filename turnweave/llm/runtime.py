@@ -9,9 +9,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.lineage import cut, discard, shared_folder
+from turnweave.lineage import bucketed, cut, discard, shared_folder
 
-__all__ = ["BROADCAST_BYTES", "cut", "discard", "grouped", "shared_folder", "small"]
+__all__ = ["BROADCAST_BYTES", "bucketed", "cut", "discard", "grouped", "shared_folder", "small"]
 
 #: A side of a join is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
