@@ -4,7 +4,11 @@ Method. Unigram and bigram counts are quantised on a roughly geometric scale
 and level q is stored by inserting the n-gram with each of 1..q into a Bloom
 filter. A count is recovered by probing 1, 2, ... until the first miss; the
 probabilities are smoothed from those counts: the bigram estimate is drawn
-towards the add-one unigram estimate with ``prior`` pseudo-counts.
+towards the add-one unigram estimate with ``prior`` pseudo-counts. Every pair is
+in the filter, those seen once too, so the counts of a context's pairs add up to
+its own and its probabilities to 1, up to the scale's rounding. The prior is
+the one of PRIORS under which the training tokens are likeliest when each is
+left out of its own counts; held-out texts have no part in it.
 
 At scale. The filter grows with the corpus and nobody holds it whole: it is cut
 into segments by hash, each of about ``segment_tokens`` tokens, and every n-gram
@@ -14,7 +18,9 @@ their segments; a segment's task adds them up, builds its filter and answers
 each group with the levels, in the order asked, and the exact unigram counts of
 the base score. The answers meet the group's texts by the number of the group.
 Every segment answers every group, so its sums of N and V arrive there too. The
-driver gets two numbers, the size of the texts, and nothing is broadcast.
+scores under each prior are written to a table, from which the one is read. The
+driver gets the size of the texts and a likelihood for each prior; nothing is
+broadcast.
 
 Edge cases. A null text is empty and scores its end token alone; a null id is
 in the training part; rows with equal ids or equal texts count one by one; an
@@ -33,8 +39,10 @@ from pyspark.sql import functions as F
 
 from turnweave.llm import bytetext as bt
 from turnweave.llm.minhash import binary
-from turnweave.llm.runtime import grouped
+from turnweave.llm.runtime import cut, grouped
 
+#: Pseudo-counts that are tried.
+PRIORS = tuple(4.0**k for k in range(9))
 #: The hash of the end token, which also stands before the first word.
 END = np.uint64(0xE7D3C0FFEE15A11D)
 
@@ -120,18 +128,18 @@ def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray
     return np.diff(offsets) // np.dtype(kind).itemsize, np.frombuffer(data.tobytes(), kind)
 
 
-def _answer_batches(min_pairs: int, bits: int):
+def _answer_batches(bits: int):
     """Requests sorted by segment to (group, segment, exact word counts, levels that
     the segment's filter tells of the words and pairs, the segment's N and V)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["segment"]):
             asked = []
-            for name, least in (("word", 1), ("pair", min_pairs)):
+            for name in ("word", "pair"):
                 sizes, hashes = _joined(table.column(f"{name}s"), np.uint64)
                 known, at = np.unique(hashes, return_inverse=True)
                 total = np.bincount(at, _joined(table.column(f"{name}_counts"), np.int32)[1], len(known)).astype(np.int64)
-                asked.append((sizes, known, at, total, np.where(total >= least, np.searchsorted(LEVELS, total, "right"), 0)))
+                asked.append((sizes, known, at, total, np.searchsorted(LEVELS, total, "right")))
             model = Filter.build(np.concatenate([x[1] for x in asked]), np.concatenate([x[4] for x in asked]), bits)
             (n_words, word, at, total, _), (n_pairs, pair, pair_at, _, _) = asked
             told = [binary(total[at].tobytes(), n_words * 8)]
@@ -187,8 +195,15 @@ class Filter:
         return out
 
 
-def _scores(prior: float):
-    """A group's rows and the answers to it to the rows of score_texts."""
+def _likelihood(joint: np.ndarray, context: np.ndarray, alone: np.ndarray, prior: float) -> np.ndarray:
+    """log10 of a token's probability from the counts of its pair and of its
+    context and the unigram estimate."""
+    return np.log10((np.minimum(joint, context) + prior * alone) / (context + prior))
+
+
+def _scores(priors: tuple[float, ...]):
+    """A group's rows and the answers to it to the rows of score_texts, with a
+    score and a left-out likelihood for each prior."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("segment")
@@ -200,14 +215,19 @@ def _scores(prior: float):
         own, both = ESTIMATE[own], ESTIMATE[both]
         at = np.searchsorted(word, bt.mix(tokens, 4))
         end = own[at[-1]]  # the last token of a text is END
-        alone = (own + 1.0) / (total + distinct + 1.0)
-        context = np.append(end, own[at][:-1])
+        own, both = own[at], both[np.searchsorted(pair, pairs)]
+        context = np.append(end, own[:-1])
         context[first[:-1]] = end
-        joint = np.minimum(both[np.searchsorted(pair, pairs)], context)
-        p = (joint + prior * alone[at]) / (context + prior)
         base = np.log10(counts + 1.0) - math.log10(total + distinct + 1)
         cuts, n = first[:-1], len(first) - 1
         learned = rows.column("in_training").to_numpy().astype(bool)
+        seen = learned[bt.rows_of(first)]
+        less = [np.maximum(x[seen] - 1.0, 0.0) for x in (both, context, own)]
+        scores = np.stack([np.add.reduceat(_likelihood(both, context, (own + 1.0) / (total + distinct + 1.0), prior), cuts) for prior in priors], 1)
+        left_out = [_likelihood(less[0], less[1], (less[2] + 1.0) / (total + distinct + 1.0), prior).sum() for prior in priors] if len(priors) > 1 else [0.0]
+        shares = np.zeros((n, len(priors)))
+        shares[0] = left_out  # the group's sum stands in its first row
+        several = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(priors)).cast(pa.list_(pa.float64()))
         return pa.table(
             {
                 "doc_id": rows.column("doc_id"),
@@ -216,7 +236,8 @@ def _scores(prior: float):
                 "n_known": pa.array(np.add.reduceat((counts > 0)[at].astype(np.int64), cuts)),
                 "train_tokens": pa.array(np.full(n, total)),
                 "base_score": pa.array(np.add.reduceat(base[at], cuts)),
-                "score": pa.array(np.add.reduceat(np.log10(p), cuts)),
+                "scores": several(scores),
+                "left_out": several(shares),
             }
         )
 
@@ -226,12 +247,10 @@ def _scores(prior: float):
 def score_texts(
     docs: DataFrame,
     training: Column,
-    prior: float = 2000.0,
-    min_pairs: int = 2,
+    prior: float | None = None,
     max_filter_bytes: int = 32 << 20,
     segment_tokens: int = 2_000_000,
     bits_per_entry: int = 16,
-    hot_words: int = 1 << 20,
     text: str = "text",
     ident: str = "doc_id",
     group_bytes: int = 4 << 20,
@@ -239,10 +258,9 @@ def score_texts(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     every row; the model learns from the rows where ``training`` holds.
 
-    min_pairs: bigrams seen less often are left to the unigram estimate.
-    prior: pseudo-counts of the unigram estimate in each context.
+    prior: pseudo-counts of the unigram estimate in each context; by default
+    fitted to the training rows.
     max_filter_bytes: of one segment's filter; more n-grams make more segments.
-    hot_words: has no effect any more, all words are counted by the shuffle.
     """
     rows = docs.select(F.col(ident).alias("doc_id"), F.coalesce(training, F.lit(True)).alias("in_training"), F.coalesce(text, F.lit("")).alias("text"))
     sizes = rows.select("text").mapInArrow(_size_batches, "bytes long, tokens long")
@@ -257,8 +275,11 @@ def score_texts(
     answers = (
         requests.repartition(segments, "segment")
         .sortWithinPartitions("segment")
-        .mapInArrow(_answer_batches(min_pairs, bits_per_entry), "group long, segment int, counts binary, levels binary, pair_levels binary, tokens long, distinct long")
+        .mapInArrow(_answer_batches(bits_per_entry), "group long, segment int, counts binary, levels binary, pair_levels binary, tokens long, distinct long")
     )
     kind = docs.schema[ident].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_scores(prior), schema)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>, left_out array<double>"
+    priors = PRIORS if prior is None else (prior,)
+    out = cut(dealt.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_scores(priors), schema))
+    sums = out.agg(*(F.coalesce(F.sum(F.get("left_out", F.lit(k))), F.lit(0.0)) for k in range(len(priors)))).first()
+    return out.withColumn("score", F.get("scores", F.lit(max(range(len(priors)), key=lambda k: sums[k])))).drop("scores", "left_out")
