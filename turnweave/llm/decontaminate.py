@@ -48,10 +48,26 @@ def _windows(docs: DataFrame, guarantee: int, k: int) -> DataFrame:
     """docs(words, ...) with least: the winnowed hash of each window, by place."""
     k = min(k, guarantee)
     w = guarantee - k + 1
+    places = lambda array, n: F.sequence(F.lit(0), F.size(array) - n)
+    # slice() copies the whole array each time in a lambda, get() does not
+    run = lambda array, i, n: [F.get(array, i + j) for j in range(n)]
     # A CASE, not a filter: a filter would be pushed below the split and repeat it.
-    grams = F.when(F.size("words") >= guarantee, F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(F.slice("words", i, k))))
-    least = F.when(F.col("grams").isNotNull(), F.transform(F.sequence(F.lit(1), F.size("grams") - (w - 1)), lambda i: F.array_min(F.slice("grams", i, w))))
-    return docs.withColumn("grams", grams).withColumn("least", least).drop("grams")
+    grams = F.when(F.size("words") >= guarantee, F.transform(places("hashes", k), lambda i: F.xxhash64(*run("hashes", i, k))))
+    least = F.when(F.col("grams").isNotNull(), F.transform(places("grams", w), lambda i: F.least(*run("grams", i, w)) if w > 1 else F.get("grams", i)))
+    return docs.withColumn("hashes", F.transform("words", lambda word: F.xxhash64(word))).withColumn("grams", grams).withColumn("least", least).drop("grams", "hashes")
+
+
+def _window(i: Column, length: int) -> Column:
+    """The words from place i on as one string."""
+    return F.concat_ws(" ", *[F.get("words", i + j) for j in range(length)])
+
+
+def _prints(base: DataFrame) -> DataFrame:
+    """base(least, ...) with prints: each run of windows first ... until - 1 that keep one hash."""
+    least = F.col("least")
+    starts = F.array_compact(F.transform(least, lambda h, i: F.when((i == 0) | (h != F.get(least, i - 1)), F.struct(h.alias("fingerprint"), i.alias("first")))))
+    until = lambda j: F.coalesce(F.get(F.col("starts"), j + 1)["first"], F.size("least")).alias("until")
+    return base.withColumn("starts", starts).withColumn("prints", F.transform("starts", lambda s, j: F.struct(s["fingerprint"].alias("fingerprint"), s["first"].alias("first"), until(j)))).drop("starts")
 
 
 def contaminated(
@@ -79,19 +95,21 @@ def contaminated(
     parts = [marks]
     for length in lengths:
         own = _windows(items.where(F.col("length") == length), length, k)
-        window = own.select("item", F.explode_outer(F.transform("least", lambda h, i: F.struct(h.alias("fingerprint"), F.array_join(F.slice("words", i + 1, length), " ").alias("window")))).alias("w"))  # noqa: B023
+        window = own.select("item", F.explode_outer(F.transform("least", lambda h, i: F.struct(h.alias("fingerprint"), _window(i, length).alias("window")))).alias("w"))  # noqa: B023
         window = cut(window.groupBy("w.fingerprint", "w.window").agg(F.collect_set("item").alias("items")))
         size = window.agg(F.coalesce(F.sum(F.length("window") + 24 * F.size("items") + 64), F.lit(0))).first()[0]
         prints, base = window.select("fingerprint").distinct(), _windows(rows, length, k)
-        least = base.select(*key, "words", F.posexplode_outer("least").alias("at", "fingerprint"))
+        own = _prints(base).drop("least")
         if size <= max_broadcast:
             prints, window = F.broadcast(prints.withColumn("met", F.lit(True))), F.broadcast(window.select("window", "items"))
-            met = least.join(prints, "fingerprint")
+            met = own.select(*key, "words", F.explode_outer("prints").alias("p")).join(prints, F.col("p.fingerprint") == F.col("fingerprint"))
         else:
-            which = base.select(*key, F.explode_outer(F.array_distinct("least")).alias("fingerprint")).join(prints, "fingerprint", "left_semi")
+            which = own.select(*key, F.explode_outer(F.array_distinct(F.transform("prints", lambda x: x["fingerprint"]))).alias("fingerprint")).join(prints, "fingerprint", "left_semi")
             which = which.groupBy("k1", "k2").agg(F.collect_set("fingerprint").alias("met"))
-            met = base.join(which, ["k1", "k2"]).select(*key, "words", "met", F.posexplode_outer("least").alias("at", "fingerprint")).where("array_contains(met, fingerprint)")
-        found = met.select(*key, "at", F.array_join(F.slice("words", F.col("at") + 1, length), " ").alias("window")).join(window.select("window", "items"), "window")
+            met = own.join(which, ["k1", "k2"]).select(*key, "words", "met", F.explode_outer("prints").alias("p")).where("array_contains(met, p.fingerprint)")
+        # a hit is extended to the windows of its run, each compared word by word
+        extended = F.transform(F.sequence(F.col("p.first"), F.col("p.until") - 1), lambda i: F.struct(i.alias("at"), _window(i, length).alias("window")))  # noqa: B023
+        found = met.select(*key, F.explode_outer(extended).alias("w")).select(*key, "w.at", "w.window").join(window.select("window", "items"), "window")
         parts.append(found.select(*key, F.lit(None).cast("long").alias("n_words"), F.struct("at", F.lit(length).alias("length")).alias("span"), "items"))
     every = parts[0]
     for part in parts[1:]:
