@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.runtime import cut
+from turnweave.llm.runtime import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,13 +17,16 @@ def components(links: DataFrame) -> DataFrame:
     with the logarithm of the diameter. Lineage is cut in each round.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    root = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
-    root = cut(root)
+    root = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
+    held = root
     while True:
         seen = both.join(root.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = root.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = root.select(F.col("node").alias("root"), F.col("root").alias("far"))
         step = cut(step.join(jump, "root", "left").select("node", "was", F.coalesce(F.least("root", "far"), "root").alias("root")))
-        root = step.select("node", "root")
+        discard(held)
+        root, held = step.select("node", "root"), step
         if step.where("root <> was").isEmpty():
-            return root
+            out = cut(root)
+            discard(both, held)
+            return out

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from turnweave.llm import bytetext as bt
 from turnweave.llm.graph import components
-from turnweave.llm.runtime import cut, grouped, small
+from turnweave.llm.runtime import cut, discard, grouped, small
 
 _SHIFT = 0x9E3779B97F4A7C15
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -255,15 +255,15 @@ def near_duplicates(
         texts = texts.union(source.where("low is null").select("text"))
     sets = texts.mapInArrow(_set_batches(width), "node binary, members binary").dropDuplicates(["node"])
     sets = cut(sets.join(chosen.select("node", "sketch"), "node"))
-    size = group.groupBy("hub").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("nj"))
+    size = cut(group.groupBy("hub").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("nj")))
     star = group.join(size, "hub").select("hub", F.lit(0).alias("i"), F.pmod(F.xxhash64("node"), F.col("nj")).cast("int").alias("j"), F.lit(1).alias("side"), "node")
-    centre = star.select("hub", "i", "j").distinct().select("hub", "i", "j", F.lit(0).alias("side"), F.col("hub").alias("node"))
+    centre = size.select("hub", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"), F.col("hub").alias("node"))
     first = cut(_compare(star.unionByName(centre), sets, percent, sketch_floor))
     linked = first.select("hub", F.col("b").alias("node"), F.lit(True).alias("linked"))
     apart = cut(group.join(linked, ["hub", "node"], "left").select("hub", "node", "n", F.col("linked").isNull().alias("rest")))
-    total = apart.groupBy("hub").agg(
+    total = cut(apart.groupBy("hub").agg(
         F.ceil(F.sum("n") / block_shingles).alias("nj"), F.ceil(F.sum(F.when(F.col("rest"), F.col("n"))) / block_shingles).alias("ni"), F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")
-    )
+    ))
     open_ = apart.join(total.where("n_rest > 0 and n_all > 1").select("hub", "ni", "nj"), "hub")
     i, j = F.pmod(F.xxhash64("node"), F.col("ni")).cast("int"), F.pmod(F.xxhash64("node"), F.col("nj")).cast("int")
     left = open_.where("rest").select("hub", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj").cast("int") - 1)).alias("j"), F.lit(0).alias("side"), "node")
@@ -275,6 +275,7 @@ def near_duplicates(
     least = named.groupBy("root").agg(F.min("low").alias("component"))
     count = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     joined = cut(named.join(least, "root").join(count, "node").select("node", "root", "component", "n_links"))
+    discard(shared, member, group, needed, chosen, sets, size, first, apart, total, links, root)
     out = sketch.select("doc_id", "n_shingles", "node", *(keep or [])).join(nodes.select("node", "low"), "node", "left").join(small(joined, 64), "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "low"))
     passed = [F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("near_group"), *keep] if keep else []
