@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 
 from pyspark.sql import Row
 
@@ -73,6 +74,50 @@ def test_salvage_of_plain_and_compressed_records(monkeypatch):
             assert gaps == [(before, before + len(hurt))]
 
 
+def test_salvage_inside_a_member():
+    rng = random.Random(3)
+    plain = []
+    for i in range(5):
+        body = bytes(rng.randrange(256) for _ in range(3000))
+        plain.append(warc.record(i, "http://a/", body, hashlib.sha256(body).hexdigest()))
+    names = [f"<urn:page:{i}>" for i in range(5)]
+    whole = warc.member(b"".join(plain))
+    assert read(whole) == (names, [])
+    # one wrong byte in a record, packed anew: the member's checks hold, the record's do not
+    data = bytearray(b"".join(plain))
+    data[len(plain[0]) + len(plain[1]) + 1500] ^= 1
+    assert read(warc.member(bytes(data)))[0] == names[:2] + names[3:]
+    # a wrong byte in the packed form
+    hurt = bytearray(whole)
+    hurt[len(hurt) // 2] ^= 1
+    got, gaps = read(bytes(hurt) + plain[0])
+    assert got[:2] == names[:2] and got[-1] == names[0] and names[2] not in got and (0, len(hurt)) in gaps
+    # a cut member
+    got, gaps = read(whole[: len(whole) * 8 // 10])
+    assert got == names[:3] or got == names[:4]
+    assert gaps
+
+
+def test_undigested_records_need_a_whole_member():
+    bare = b"WARC/1.1\r\nContent-Length: 3\r\nWARC-Record-ID: x\r\n\r\nabc\r\n\r\n"
+    packed = warc.member(bare * 2)
+    assert read(packed) == (["x", "x"], [])
+    assert read(packed[:-1])[0] == []
+
+
+def test_long_headers_and_odd_ids(spark):
+    url = "http://a/" + "u" * 1_500_000
+    rows = [("", url, "a"), ("x\r\ny <>", None, LONG), (None, "http://b", "c"), ("z", "http://b", LONG)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {("", "response", None), ("x\r\ny <>", "response", None), (None, "response", None), ("z", "revisit", "x\r\ny <>")}
+
+
+def test_a_very_long_payload(spark):
+    pages = spark.createDataFrame([(1, "http://a", "ü" * 2_000_000), (2, "http://a", "x")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.round_trip(pages).collect()) == [(1, 4_000_000), (2, 1)]
+
+
 def test_nothing_but_junk():
     assert read(b"") == ([], [])
     assert read(b"junk" * 10) == ([], [(0, 40)])

@@ -10,11 +10,16 @@ Salvage reader. A member or record that fails a check (gzip CRC and length,
 version line, headers, Content-Length, end mark, payload digest) is given up;
 the reader looks for the next gzip magic or version line from which a whole
 valid record can be read, goes on there, and logs the bytes between as a gap.
+Inside a member it does the same with the inflated bytes: records before and
+after a damage that pass their own digest are kept, those without a digest only
+if the member's checks hold. The writer adds a digest of the headers, which the
+block digest leaves out; other writers' headers are unprotected there.
 Plain and compressed records may follow one another in one file.
 
 At scale. Digests are grouped with map-side partials and only repeated ones are
 joined back (shuffled and split where hot, unless few). Archives are read in
-windows of 1 MB; memory is bounded by one record. Archives live in the folder
+windows of 1 MB and inflated as they are read; memory is bounded by one record
+(and by what a member holds without digests). Archives live in the folder
 that all executors share, through Arrow's file systems.
 
 Edge cases. A null html is an empty payload, a null URL an empty target; line
@@ -29,6 +34,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -41,6 +47,8 @@ from turnweave.llm.runtime import cut, shared_folder, small
 VERSION = b"WARC/1.1\r\n"
 _MAGIC, _LINE, _WINDOW = b"\x1f\x8b\x08", b"WARC/1.", 1 << 20
 _END = b"\r\n\r\n"
+#: An extension header, the last one: the SHA-256 of the header lines before it.
+_OWN = "X-Header-Digest"
 
 
 def record(page_id, url: str, payload: bytes, digest: str, refers_to=None) -> bytes:
@@ -49,7 +57,7 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to=None) -> by
     block = http if refers_to is not None else http + payload
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", _urn(page_id)),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -58,8 +66,9 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to=None) -> by
         ("Content-Length", str(len(block))),
     ]
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-    return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + _END
+        head += [("WARC-Refers-To", _urn(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    lines = "".join(f"{k}: {v}\r\n" for k, v in head).encode()
+    return VERSION + lines + f"{_OWN}: {hashlib.sha256(lines).hexdigest()}\r\n\r\n".encode() + block + _END
 
 
 def member(data: bytes) -> bytes:
@@ -93,18 +102,75 @@ class _Source:
         return self.size
 
 
+class _Inflated:
+    """What a gzip member holds, inflated as far as it is read. At a damage it
+    ends with the bytes that came before."""
+
+    def __init__(self, source: _Source, start: int):
+        self.source, self.at = source, start
+        self.z, self.base, self.held, self.done, self.reason = zlib.decompressobj(31), 0, bytearray(), False, None
+
+    @property
+    def end(self) -> int:
+        return self.base + len(self.held)
+
+    def _more(self) -> None:
+        piece, saved = self.source.read(self.at, 65536), self.z.copy()
+        if not piece:
+            self.done, self.reason = True, "cut member"
+            return
+        try:
+            self.held += self.z.decompress(piece)
+            self.at += len(piece)
+        except zlib.error:
+            self.done, self.reason = True, "bad member"
+            for k in range(len(piece)):
+                try:
+                    self.held += saved.decompress(piece[k : k + 1])
+                except zlib.error:
+                    return
+        if self.z.eof:
+            self.at -= len(self.z.unused_data)
+            self.done = True
+
+    def read(self, start: int, n: int) -> bytes:
+        while not self.done and self.end < start + n:
+            self._more()
+        return bytes(self.held[start - self.base : start - self.base + n])
+
+    def find(self, start: int) -> int:
+        """The next version line at or after start; the end if none. Bytes before are let go."""
+        while True:
+            hit = self.held.find(_LINE, start - self.base)
+            if hit >= 0 or self.done:
+                start = self.base + hit if hit >= 0 else self.end
+                self.drop(start)
+                return start
+            start = max(start, self.end - len(_LINE) + 1)
+            self.drop(start)
+            self._more()
+
+    def drop(self, start: int) -> None:
+        del self.held[: start - self.base]
+        self.base = start
+
+
 class Broken(ValueError):
     """A record that fails a check."""
 
 
 def _plain(get, start: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at start; get(start, n) reads bytes."""
-    head = b""
+    head, size = b"", 0
     while _END not in head:
-        more = get(start + len(head), 4096)
-        head += more
-        if not more or len(head) > 1 << 20:
+        # all lines but the first must be headers: what is none ends the search
+        if any(b": " not in line for line in head.split(b"\r\n")[1:-1]):
+            raise Broken("bad headers")
+        size = 2 * size or 4096
+        more = get(start, size)
+        if len(more) == len(head):
             raise Broken("no end of headers")
+        head = more
     lines, _, _ = head.partition(_END)
     first, *rest = lines.split(b"\r\n")
     if not (first.startswith(_LINE) and first[len(_LINE) :].isdigit()):
@@ -115,57 +181,85 @@ def _plain(get, start: int) -> tuple[dict[str, str], bytes, int]:
     except (ValueError, KeyError, UnicodeDecodeError) as e:
         raise Broken("bad headers") from e
     at = start + len(lines) + len(_END)
-    block = get(at, n) if n else b""
+    block = get(at, n) if n > 0 else b""
     if n < 0 or len(block) < n or get(at + n, 4) != _END:
         raise Broken("bad length")
+    if _OWN in headers and hashlib.sha256(b"".join(line + b"\r\n" for line in rest[:-1])).hexdigest() != headers[_OWN]:
+        raise Broken("bad header digest")
     want = headers.get("WARC-Block-Digest", "")
     if want.startswith("sha256:") and hashlib.sha256(block).hexdigest() != want[7:]:
         raise Broken("bad block digest")
     return headers, block, at + n + 4
 
 
-def _member(source: _Source, start: int) -> tuple[bytes, int]:
-    z, at, out = zlib.decompressobj(31), start, []
-    while not z.eof:
-        piece = source.read(at, 65536)
-        if not piece:
-            raise Broken("cut member")
+def _inside(inner: _Inflated) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
+    """Records and gaps of a member, at inflated offsets. Records that carry no
+    digest come last, and only if the member's own checks hold."""
+    at, gap, reason, unsure = 0, None, "", []
+    while inner.read(at, 1):
         try:
-            out.append(z.decompress(piece))
-        except zlib.error as e:
-            raise Broken("bad member") from e
-        at += len(piece)
-        if len(out) == 1 and out[0] and not (out[0].startswith(_LINE) or _LINE.startswith(out[0][: len(_LINE)])):
-            raise Broken("no version line")
-    return b"".join(out), at - len(z.unused_data)
+            headers, block, end = _plain(inner.read, at)
+        except Broken as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            at = inner.find(at + 1)
+            continue
+        if gap is not None:
+            yield "gap", gap, at, {"reason": reason}, b""
+            gap = None
+        if headers.get("WARC-Block-Digest", "").startswith("sha256:"):
+            yield "record", at, end, headers, block
+        else:
+            unsure.append(("record", at, end, headers, block))
+        at = end
+        inner.drop(at)
+    if gap is not None:
+        yield "gap", gap, at, {"reason": reason}, b""
+    yield from unsure if inner.reason is None else (("gap", begin, end, {"reason": inner.reason}, b"") for _, begin, end, _, _ in unsure)
 
 
 def salvage(file, size: int) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """('record', offset, end, headers, block) and ('gap', offset, end, {'reason': ...}, b'')."""
+    """('record', offset, end, headers, block) and ('gap', offset, end, {'reason': ...}, b'').
+
+    Records of a member have the member's offsets. A gap inside a member that
+    gave records too has the member's offset twice and tells the inflated bytes.
+    """
     source, at, gap, reason = _Source(file, size), 0, None, ""
     while at < size:
-        try:
-            if source.read(at, 3) == _MAGIC:
-                data, end = _member(source, at)
-                found, inner = [], 0
-                while inner < len(data):
-                    headers, block, inner = _plain(lambda s, n: data[s : s + n], inner)  # noqa: B023
-                    found.append((headers, block))
-            elif source.read(at, len(_LINE)) == _LINE:
+        if source.read(at, 3) == _MAGIC:
+            inner, found, holes = _Inflated(source, at), False, []
+            for what, begin, end, headers, block in _inside(inner):
+                if what == "gap":
+                    holes.append(f"{headers['reason']}, inflated bytes {begin} to {end}")
+                    continue
+                found = True
+                if gap is not None:
+                    yield "gap", gap, at, {"reason": reason}, b""
+                    gap = None
+                yield "record", at, inner.at, headers, block
+            if found:
+                for hole in holes:
+                    yield "gap", at, at, {"reason": hole}, b""
+            if inner.reason is None and (found or not inner.end):
+                at = inner.at
+                continue
+            why, after = inner.reason or "no record in member", inner.at if inner.reason is None else at + 1
+        elif source.read(at, len(_LINE)) == _LINE:
+            try:
                 headers, block, end = _plain(source.read, at)
-                found = [(headers, block)]
-            else:
-                raise Broken("no record here")
-            if gap is not None:
-                yield "gap", gap, at, {"reason": reason}, b""
-                gap = None
-            for headers, block in found:
+                if gap is not None:
+                    yield "gap", gap, at, {"reason": reason}, b""
+                    gap = None
                 yield "record", at, end, headers, block
-            at = end
-        except Broken as e:
-            if gap is None:
-                gap, reason = at, str(e)
-            at = source.find(at + 1)
+                at = end
+                continue
+            except Broken as e:
+                why, after = str(e), at + 1
+        else:
+            why, after = "no record here", at + 1
+        if gap is None:
+            gap, reason = at, why
+        at = source.find(after)
     if gap is not None:
         yield "gap", gap, size, {"reason": reason}, b""
 
@@ -249,8 +343,15 @@ def _rows(held: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(held, schema=_SCHEMA)
 
 
+_URN = "<urn:page:"
+
+
+def _urn(page_id) -> str:
+    return "<urn:no-page>" if page_id is None else f"{_URN}{quote(str(page_id), safe='')}>"
+
+
 def _name(value: str | None) -> str | None:
-    return (value or "").removeprefix("<urn:page:").removesuffix(">") or None
+    return unquote(value[len(_URN) : -1]) if value and value.startswith(_URN) else None
 
 
 def _fields(headers: dict[str, str], block: bytes) -> dict:
@@ -277,5 +378,7 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     page, as read back from its archives."""
     kind = pages.schema[options.get("ident", "page_id")].dataType
     archives = write_archives(pages, **options)
-    read = read_archives(archives, shared_folder(pages.sparkSession)).where("gap is null")
+    read = read_archives(archives, shared_folder(pages.sparkSession))
+    # what was just written must come back whole
+    read = read.where(F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("gap in"), "path", "begin", "gap")).cast("boolean")))
     return read.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to"))
