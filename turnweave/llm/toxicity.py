@@ -10,11 +10,13 @@ forward-backward gives each token's marginal; their maximum, sum and density go
 through a logistic layer fitted on the same sample. Runs of tokens of marginal
 0.5 or more are the offending spans.
 
-Chains run over segments of ``SEGMENT`` tokens, so that a chunk's tokens are
-one matrix and a very long text costs no more per token than a short one.
+A text is one chain. It is worked on in segments of ``SEGMENT`` tokens side by
+side, whose transfer matrices carry the messages on, so that a very long text
+costs no more per token than a short one.
 
 At scale. The fit reads at most ``sample`` documents of each class, the first
-by a hash of their id (the documented bound); scoring is one pass without a
+by a hash of their id, of texts of at most ``sample_bytes`` each, one for an id
+(the documented bound of what comes to the driver); scoring is one pass without a
 shuffle over all documents, with a few hundred kB of weights broadcast.
 
 Edge cases. A null text is scored as an empty one, which gets the score of no
@@ -35,7 +37,11 @@ from pyspark.sql import functions as F
 
 from turnweave.llm import bytetext as bt
 
-SEGMENT = 64
+#: Tokens of a segment, and about how many are worked on at once: both leave results as they are.
+SEGMENT, RUN = 64, 1 << 17
+#: Marginals below this are background, and weights below WEAK are not kept: both
+#: hold the score of a long clean text, and the size of the broadcast, down.
+BACKGROUND, WEAK = 0.25, 0.05
 _PREFIXES = (4, 5)
 
 
@@ -49,50 +55,73 @@ def features(padded: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray],
     return kinds, first, s, e
 
 
-def _segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(segment, place in it) of each token and the number of segments."""
-    n = np.diff(first)
-    place = np.arange(first[-1]) - np.repeat(first[:-1], n)
-    per = -(-n // SEGMENT)
-    base = np.append(0, np.cumsum(per))
-    return np.repeat(base[:-1], n) + place // SEGMENT, place % SEGMENT, int(base[-1])
-
-
 def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) of each token, and the expected transitions (2 x 2).
+    """P(state 1) of each token, and the expected transitions (2 x 2); each row
+    is one chain. Rows go in runs of about RUN tokens.
 
     emission: score of state 1 over state 0; trans: 2 x 2 transition scores.
     """
-    seg, place, n = _segments(first)
-    x = np.zeros((SEGMENT, n))
-    live = np.zeros((SEGMENT, n), bool)
-    x[place, seg] = np.clip(emission, -30, 30)
+    out, pair, row = np.zeros(first[-1]), np.zeros((2, 2)), 0
+    while row < len(first) - 1:
+        end = max(row + 1, int(np.searchsorted(first, first[row] + RUN, "right")) - 1)
+        if first[end] > first[row]:
+            p, more = _chains(emission[first[row] : first[end]], first[row : end + 1] - first[row], trans)
+            out[first[row] : first[end]] = p
+            pair += more
+        row = end
+    return out, pair
+
+
+def _chains(emission: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """marginals() of one run. Segments of SEGMENT tokens are columns of one
+    matrix: their transfer matrices (2 x 2) are multiplied up side by side, and
+    messages are then carried from segment to segment along each row."""
+    n = np.diff(first)
+    inside = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    per = -(-n // SEGMENT)
+    base = np.append(0, np.cumsum(per))
+    seg, place, count = np.repeat(base[:-1], n) + inside // SEGMENT, inside % SEGMENT, int(base[-1])
+    opens = np.zeros(count, bool)
+    opens[base[:-1][n > 0]] = True
+    e = np.ones((SEGMENT, count))
+    live = np.zeros((SEGMENT, count), bool)
+    e[place, seg] = np.exp(np.clip(emission, -30, 30))
     live[place, seg] = True
-    e1 = np.exp(x)
-    w = np.exp(trans)
-    fwd = np.zeros((SEGMENT, n, 2))
-    bwd = np.ones((SEGMENT, n, 2))
-    a = np.ones((n, 2))
+    w, unit = np.exp(trans), np.eye(2)[:, :, None]
+    # ahead[t]: from the message before the segment to the one at place t
+    ahead = np.empty((SEGMENT, 2, 2, count))
+    now = np.where(opens, unit, w[:, :, None])
     for t in range(SEGMENT):
-        if t:
-            a = a @ w
-        a = np.stack([a[:, 0], a[:, 1] * e1[t]], 1)
-        a /= a.sum(1, keepdims=True)
-        fwd[t] = a
-    b = np.ones((n, 2))
+        step = now if not t else np.stack([now[:, 0] * w[0, j] + now[:, 1] * w[1, j] for j in (0, 1)], 1)
+        step = np.stack([step[:, 0], step[:, 1] * e[t]], 1)
+        now = np.where(live[t], step / step.sum((0, 1)), now if t else unit)
+        ahead[t] = now
+    # behind[t]: from the message after the segment to the one at place t
+    behind = np.empty((SEGMENT, 2, 2, count))
+    back = np.broadcast_to(unit, (2, 2, count))
+    behind[SEGMENT - 1] = back
     for t in range(SEGMENT - 2, -1, -1):
-        nxt = np.stack([b[:, 0], b[:, 1] * e1[t + 1]], 1) @ w.T
-        nxt /= nxt.sum(1, keepdims=True)
-        b = np.where(live[t + 1][:, None], nxt, 1.0)
-        bwd[t] = b
-    p = fwd * bwd
-    p = p[:, :, 1] / p.sum(2)
-    pair = np.zeros((2, 2))
-    for t in range(SEGMENT - 1):
-        joint = fwd[t][:, :, None] * w[None] * np.stack([bwd[t + 1][:, 0], bwd[t + 1][:, 1] * e1[t + 1]], 1)[:, None, :]
-        joint /= joint.sum((1, 2), keepdims=True)
-        pair += joint[live[t + 1]].sum(0)
-    return p[place, seg], pair
+        step = np.stack([w[i, 0] * back[0] + w[i, 1] * e[t + 1] * back[1] for i in (0, 1)])
+        back = np.where(live[t + 1], step / step.sum((0, 1)), unit)
+        behind[t] = back
+    before, after = np.ones((2, count)), np.ones((2, count))
+    for k in range(1, int(per.max())):
+        at = base[:-1][per > k] + k
+        message = np.einsum("ic,ijc->jc", before[:, at - 1], ahead[SEGMENT - 1][:, :, at - 1])
+        before[:, at] = message / message.sum(0)
+    for k in range(int(per.max()) - 2, -1, -1):
+        at = base[:-1][per > k + 1] + k
+        message = np.einsum("ijc,jc->ic", behind[0][:, :, at + 1], after[:, at + 1])
+        message = np.stack([w[i, 0] * message[0] + w[i, 1] * e[0, at + 1] * message[1] for i in (0, 1)])
+        after[:, at] = message / message.sum(0)
+    forward = np.einsum("in,nij->nj", before[:, seg], ahead[place, :, :, seg])
+    backward = np.einsum("nij,jn->ni", behind[place, :, :, seg], after[:, seg])
+    p = forward * backward
+    follows = np.flatnonzero(inside[1:] > 0)
+    later = backward[follows + 1] * np.stack([np.ones(len(follows)), e[place[follows + 1], seg[follows + 1]]], 1)
+    joint = forward[follows][:, :, None] * w[None] * later[:, None, :]
+    pair = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+    return p[:, 1] / p.sum(1), pair
 
 
 @dataclass
@@ -127,8 +156,8 @@ class Tagger:
 
 def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per row: largest marginal, log of 1 + their sum, and ten times their
-    density. Background below 0.25 does not add up, however long the text."""
-    p = np.where(p >= 0.25, p, 0.0)
+    density. Background does not add up, however long the text."""
+    p = np.where(p >= BACKGROUND, p, 0.0)
     n = np.diff(first)
     total, most = np.zeros(len(n)), np.zeros(len(n))
     some = np.flatnonzero(n)
@@ -139,7 +168,12 @@ def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, min_toxic: int = 3, steps: int = 30, min_odds: float = 3.9) -> Tagger:
-    """A tagger from whole texts and their labels."""
+    """A tagger from whole texts and their labels.
+
+    min_toxic: toxic documents (or a hundredth of them) that a feature needs.
+    min_odds: log of how much likelier it is in toxic ones: 3.9 is 50 times,
+    more than words that are merely commoner there reach.
+    """
     tagger = Tagger()
     if not len(toxic) or toxic.all() or not toxic.any():
         return tagger
@@ -172,8 +206,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, min_toxic: int = 3, steps: int = 30,
     index = [np.where(keep[at], o[at], n) for (_, at, keep), o in zip(found, offset)]
     weights, bias, trans = np.zeros(n + 1), -4.0, np.zeros((2, 2))
     y = label.astype(float)
-    seg, place, count = _segments(first)
-    follows = place[1:] > 0
+    follows = row[1:] == row[:-1]
     observed = np.zeros((2, 2))
     np.add.at(observed, (label[:-1][follows].astype(int), label[1:][follows].astype(int)), 1)
     memory = [np.full(n + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
@@ -188,7 +221,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, min_toxic: int = 3, steps: int = 30,
         bias = bias + 0.6 * grads[1] / np.sqrt(memory[1])
         trans = trans + 0.3 * grads[2] / np.sqrt(memory[2])
     keys = np.concatenate([v[keep] for v, _, keep in found])
-    useful = np.abs(weights[:n]) > 0.05
+    useful = np.abs(weights[:n]) > WEAK
     order = np.argsort(keys[useful])
     tagger.keys, tagger.weights, tagger.bias, tagger.trans = keys[useful][order], weights[:n][useful][order], float(bias), trans
     p, _ = marginals(tagger.emission(kinds), first, trans)
@@ -232,20 +265,21 @@ def _score_batches(shared, text: str, kept: list[str]):
 
 
 def score_documents(
-    docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 800, threshold: float = 0.7, text: str = "text", ident: str = "doc_id", keep: list[str] | None = None
+    docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 800, threshold: float = 0.7, sample_bytes: int = 1 << 18, text: str = "text", ident: str = "doc_id", keep: list[str] | None = None
 ) -> DataFrame:
     """doc_id, held_out, the columns in ``keep``, score, predicted, spans (byte
     offsets) of every row.
 
     labels: (doc_id, toxic); rows of docs where ``held_out`` holds are not
-    learnt from. sample bounds the training documents of each class.
+    learnt from. sample bounds the training documents of each class and
+    sample_bytes each one's text: longer ones are scored, but not learnt from.
     """
     spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").dropDuplicates(["label_id"])
-    known = docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    known = docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes)
     ids = known.select("id").join(marked, F.col("id") == F.col("label_id"))
     chosen = [ids.where(F.col("toxic") == c).select("id", "toxic").distinct().orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
-    few = known.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "text", "toxic").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    few = known.join(F.broadcast(chosen[0].union(chosen[1])), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     tagger = fit(few.column("text").combine_chunks(), few.column("toxic").to_numpy().astype(bool))
     shared = spark.sparkContext.broadcast(tagger)
     extra = [c for c in keep or [] if c not in (ident, "held_out", "score", "spans", "predicted")]
