@@ -1,4 +1,4 @@
-"""Rules for evaluation cases: each finding is a rule's code, V1 to V33.
+"""Rules for evaluation cases: each finding has a rule's code, V1 to V33, and a message.
 
 A line is parsed to a VARIANT, so that types are checked as they stand in the
 JSON; rules are one array of conditions per stage, and a stage with findings
@@ -17,8 +17,24 @@ REQUIRED = ["case_id", "category", "history", "query", "gold_answer", "evidence_
 LENGTHS = {"lexical": (20, 40), "semantic": (20, 40), "buried": (80, 150), "duplicates": (30, 60), "long_evidence": (15, 30), "multi_evidence": (30, 60), "recency": (20, 40)}
 
 
-def _codes(**rules: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in rules.items()]))
+def _none() -> Column:
+    return F.array().cast("array<struct<code:string,message:string>>")
+
+
+def _finding(code: str, *message) -> Column:
+    text = F.concat_ws(" ", *[m if isinstance(m, Column) else F.lit(m) for m in message])
+    return F.struct(F.lit(code).alias("code"), text.alias("message"))
+
+
+def _one(code: str, cond: Column, *message) -> Column:
+    """An array with the finding if cond holds, else empty."""
+    return F.when(cond, F.array(_finding(code, *message))).otherwise(_none())
+
+
+def _each(code: str, items: Column | str, cond, message) -> Column:
+    """A finding for each item i that cond(item, i) holds for."""
+    found = F.transform(items, lambda x, i: F.when(cond(x, i), _finding(code, *message(x, i))))
+    return F.coalesce(F.filter(found, lambda f: f.isNotNull()), _none())
 
 
 def _is(kind: str, value: Column) -> Column:
@@ -38,8 +54,9 @@ def _blank(text: Column) -> Column:
 
 
 def validate_lines(lines: DataFrame) -> DataFrame:
-    """line_no, case_id, category, n_turns, errors, warnings of tolerant lines
-    (line_no, line, is_fence); a fence has only the warning V32.
+    """line_no, case_id, category, n_turns, errors, warnings (codes, one for
+    each turn, part or id at fault), error_messages, warning_messages of
+    tolerant lines (line_no, line, is_fence); a fence has only the warning V32.
 
     Stages: V33 (JSON), V1, V2; V3-V7; V8-V11; V12-V14; V15-V16; V17-V30. A
     stage with an error ends the case, but for V15 and V17-V23, which do not.
@@ -48,12 +65,17 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("v", F.when(~F.col("is_fence"), F.try_parse_json("line")))
     present = F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>"))
     is_object = _is("OBJECT", F.col("v"))
-    first = _codes(V33=F.col("v").isNull(), V1=F.col("v").isNotNull() & ~is_object, V2=is_object & (F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), present)) > 0))
-    rows = rows.withColumns({"e1": F.when(F.col("is_fence"), F.array().cast("array<string>")).otherwise(first)})
+    missing = F.array_except(F.array(*map(F.lit, REQUIRED)), present)
+    first = F.concat(
+        _one("V33", F.col("v").isNull(), "invalid JSON"),
+        _one("V1", F.col("v").isNotNull() & ~is_object, "no JSON object"),
+        _one("V2", is_object & (F.size(missing) > 0), "missing", F.array_join(F.array_sort(missing), ", ")),
+    )
+    rows = rows.withColumns({"e1": F.when(F.col("is_fence"), _none()).otherwise(first)})
     rows = rows.withColumns(
         {
             "case_id": _text(_get("case_id")),
-            "category": category_of_dataset(F.coalesce(_text(_get("category")), F.lit(""))),
+            "category": category_of_dataset(F.coalesce(_text(_get("category")), F.lit("?"))),
             "query": _text(_get("query")),
             "gold": _text(_get("gold_answer")),
             "items": F.when(_is("ARRAY", _get("history")), F.try_variant_get("v", "$.history", "array<variant>")),
@@ -65,78 +87,107 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("ids", F.when(F.col("all_int"), F.transform("raw_ids", lambda x: F.try_variant_get(x, "$", "bigint"))))
     n = F.coalesce(F.size("turns"), F.lit(0))
     has_turns = F.coalesce(F.size("turns") > 0, F.lit(False))
-    known = F.col("category").isin(*LENGTHS)
     rows = rows.withColumn("n_turns", F.when(has_turns, n).otherwise(0))
-    second = _codes(V3=_blank(F.col("case_id")), V4=~known, V5=_blank(F.col("query")), V6=_blank(F.col("gold")), V7=~has_turns)
-    good = F.filter("turns", lambda t: t["ok"])
-    wrong_turn = F.exists(F.zip_with("turns", F.transform("turns", lambda t, i: i % 2), lambda t, odd: t["ok"] & t["role"].isin("user", "assistant") & (t["role"] != F.when(odd == 0, "user").otherwise("assistant"))), lambda b: F.coalesce(b, F.lit(False)))
-    third = F.when(
-        has_turns,
-        _codes(
-            V8=F.exists("turns", lambda t: ~t["ok"]),
-            V9=F.exists(good, lambda t: ~F.coalesce(t["role"].isin("user", "assistant"), F.lit(False))),
-            V10=wrong_turn,
-            V11=F.exists(good, lambda t: _blank(t["content"])),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("e2", F.when((F.size("e1") == 0) & ~F.col("is_fence"), F.concat(second, third)).otherwise(F.array().cast("array<string>")))
+    second = F.concat(
+        _one("V3", _blank(F.col("case_id")), "case_id is no text or blank"),
+        _one("V4", ~F.col("category").isin(*LENGTHS), "unknown category", F.col("category")),
+        _one("V5", _blank(F.col("query")), "query is no text or blank"),
+        _one("V6", _blank(F.col("gold")), "gold_answer is no text or blank"),
+        _one("V7", ~has_turns, "history is no list or empty"),
+    )
+    speaks = lambda t: F.coalesce(t["role"].isin("user", "assistant"), F.lit(False))
+    due = lambda i: F.when(i % 2 == 0, "user").otherwise("assistant")
+    at = lambda t, i: ("turn", i.cast("string"))
+    third = F.concat(
+        _each("V8", "turns", lambda t, i: ~t["ok"], lambda t, i: (*at(t, i), "is no object")),
+        _each("V9", "turns", lambda t, i: t["ok"] & ~speaks(t), lambda t, i: (*at(t, i), "has the role", F.coalesce(t["role"], F.lit("none")))),
+        _each("V10", "turns", lambda t, i: t["ok"] & speaks(t) & (t["role"] != due(i)), lambda t, i: (*at(t, i), "should be of", due(i))),
+        _each("V11", "turns", lambda t, i: t["ok"] & _blank(t["content"]), lambda t, i: (*at(t, i), "has no text")),
+    )
+    rows = rows.withColumn("e2", F.when((F.size("e1") == 0) & ~F.col("is_fence"), F.concat(second, third)).otherwise(_none()))
     live = (F.size("e1") == 0) & (F.size("e2") == 0) & ~F.col("is_fence")
     some_ids = F.coalesce(F.size("raw_ids") > 0, F.lit(False))
-    outside = F.coalesce(F.exists("ids", lambda i: (i < 0) | (i >= n)), F.lit(False))
-    fourth = F.when(~some_ids, F.array(F.lit("V12"))).when(~F.col("all_int"), F.array(F.lit("V13"))).when(outside, F.array(F.lit("V14"))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("e3", F.when(live, fourth).otherwise(F.array().cast("array<string>")))
+    outside = F.coalesce(F.filter("ids", lambda i: (i < 0) | (i >= n)), F.array().cast("array<bigint>"))
+    joined = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ", ")
+    fourth = (
+        F.when(~some_ids, F.array(_finding("V12", "evidence_turn_ids is no list or empty")))
+        .when(~F.col("all_int"), F.array(_finding("V13", "evidence_turn_ids has other things than integers")))
+        .when(F.size(outside) > 0, F.array(_finding("V14", "no such turns:", joined(outside))))
+        .otherwise(_none())
+    )
+    rows = rows.withColumn("e3", F.when(live, fourth).otherwise(_none()))
     live = live & (F.size("e3") == 0)
     rows = rows.withColumn("parts", F.transform(F.split("gold", r" \| "), strip))
-    fifth = _codes(V15=F.size(F.array_distinct("ids")) != F.size("ids"), V16=F.exists("parts", lambda p: p == ""))
-    rows = rows.withColumn("e4", F.when(live, fifth).otherwise(F.array().cast("array<string>")))
-    live = live & ~F.array_contains("e4", "V16")
-    rows = rows.withColumns(
-        {
-            "live": live,
-            "evidence": F.when(live, F.transform("ids", lambda i: F.get("turns", i.cast("int"))["content"])),
-            "others": F.when(live, F.transform(F.filter("turns", lambda t, i: ~F.array_contains(F.col("ids"), i.cast("bigint"))), lambda t: t["content"])),
-            "n_parts": F.size("parts"),
-        }
+    fifth = F.concat(
+        _one("V15", F.size(F.array_distinct("ids")) != F.size("ids"), "evidence_turn_ids repeats a turn"),
+        _one("V16", F.exists("parts", lambda p: p == ""), "gold_answer has an empty part"),
     )
+    rows = rows.withColumn("e4", F.when(live, fifth).otherwise(_none()))
+    live = live & ~F.exists("e4", lambda f: f["code"] == "V16")
+    text_of = lambda i: F.get("turns", i.cast("int"))["content"]
+    rows = rows.withColumns({"live": live, "evidence": F.when(live, F.transform("ids", text_of)), "n_parts": F.size("parts")})
     multi = F.col("category") == "multi_evidence"
     one = F.get("parts", F.lit(0))
-    in_text = lambda text, part: F.contains(text, part)
-    leak = F.exists("others", lambda t: F.exists("parts", lambda p: F.contains(F.lower(t), F.lower(p))))
-    sixth = _codes(
-        V17=multi & (F.col("n_parts") < 2),
-        V18=multi & (F.size(F.array_distinct("ids")) < 2),
-        V21=(F.col("n_parts") == 1) & F.exists("evidence", lambda t: ~in_text(t, one)),
-        V22=(F.col("n_parts") > 1) & F.exists("parts", lambda p: ~F.exists("evidence", lambda t: in_text(t, p))),
-        V23=(F.col("n_parts") > 1) & F.exists("evidence", lambda t: ~F.exists("parts", lambda p: in_text(t, p))),
-        V24=leak,
+    leaks = lambda t, i: F.when(
+        ~F.array_contains(F.col("ids"), i.cast("bigint")),
+        _each("V24", "parts", lambda p, _: F.contains(F.lower(t["content"]), F.lower(p)), lambda p, _: (*at(t, i), "gives away", p)),
+    ).otherwise(_none())
+    sixth = F.concat(
+        _one("V17", multi & (F.col("n_parts") < 2), "multi_evidence needs two gold parts"),
+        _one("V18", multi & (F.size("ids") < 2), "multi_evidence needs two evidence turns"),
+        _each("V21", "ids", lambda i, _: (F.col("n_parts") == 1) & ~F.contains(text_of(i), one), lambda i, _: ("gold_answer does not stand in turn", i.cast("string"))),
+        _each("V22", "parts", lambda p, _: (F.col("n_parts") > 1) & ~F.exists("evidence", lambda t: F.contains(t, p)), lambda p, _: ("no evidence turn has", p)),
+        _each("V23", "ids", lambda i, _: (F.col("n_parts") > 1) & ~F.exists("parts", lambda p: F.contains(text_of(i), p)), lambda i, _: ("no gold part stands in turn", i.cast("string"))),
+        F.flatten(F.transform("turns", leaks)),
     )
     bounds = F.create_map(*[F.lit(x) for k, v in LENGTHS.items() for x in (k, f"{v[0]} {v[1]}")])
     low, high = (F.split(F.try_element_at(bounds, F.col("category")), " ")[i].cast("int") for i in (0, 1))
-    shared = F.arrays_overlap(content_words(F.col("query")), content_words(F.array_join("evidence", " ")))
-    warnings = _codes(
-        V19=~multi & (F.col("n_parts") > 1),
-        V20=F.exists("parts", lambda p: word_count(p) > 6),
-        V25=F.exists("parts", lambda p: F.contains(F.lower("query"), F.lower(p))),
-        V26=(F.col("n_turns") < low) | (F.col("n_turns") > high),
-        V27=(F.col("category") == "semantic") & shared,
-        V28=(F.col("category") == "long_evidence") & F.exists("evidence", lambda t: ~word_count(t).between(150, 300)),
-        V29=(F.col("category") == "buried") & F.exists("ids", lambda i: (i < F.col("n_turns") / 3) | (i > 2 * F.col("n_turns") / 3)),
-        V30=(F.col("category") == "recency") & F.exists("ids", lambda i: i < F.col("n_turns") - 2),
+    shared = F.array_intersect(content_words(F.col("query")), content_words(F.array_join("evidence", " ")))
+    size, which = F.col("n_turns"), lambda i, _: ("turn", i.cast("string"))
+    is_ = lambda name: F.col("category") == name
+    warnings = F.concat(
+        _one("V19", ~multi & (F.col("n_parts") > 1), "several gold parts, but not multi_evidence"),
+        _each("V20", "parts", lambda p, _: word_count(p) > 6, lambda p, _: ("more than 6 words:", p)),
+        _each("V25", "parts", lambda p, _: F.contains(F.lower("query"), F.lower(p)), lambda p, _: ("the query gives away", p)),
+        _one("V26", (size < low) | (size > high), size.cast("string"), "turns, not", low.cast("string"), "to", high.cast("string")),
+        _one("V27", is_("semantic") & (F.size(shared) > 0), "the query shares", F.array_join(F.array_sort(shared), ", ")),
+        _each("V28", "ids", lambda i, _: is_("long_evidence") & ~word_count(text_of(i)).between(150, 300), lambda i, _: (*which(i, _), "has not 150 to 300 words")),
+        _each("V29", "ids", lambda i, _: is_("buried") & ((i < size / 3) | (i > 2 * size / 3)), lambda i, _: (*which(i, _), "is not in the middle third")),
+        _each("V30", "ids", lambda i, _: is_("recency") & (i < size - 2), lambda i, _: (*which(i, _), "is not one of the last two")),
     )
-    none = F.array().cast("array<string>")
     before = F.min("line_no").over(Window.partitionBy("case_id"))
-    repeated = F.when(~_blank(F.col("case_id")) & (before < F.col("line_no")), F.array(F.lit("V31"))).otherwise(none)
+    repeated = _one("V31", ~_blank(F.col("case_id")) & (before < F.col("line_no")), "case_id stands on line", before.cast("string"), "too")
+    rows = rows.withColumns(
+        {
+            "bad": F.concat("e1", "e2", "e3", "e4", F.when(F.col("live"), sixth).otherwise(_none()), repeated),
+            "odd": F.when(F.col("is_fence"), F.array(_finding("V32", "a Markdown fence, passed over"))).when(F.col("live"), warnings).otherwise(_none()),
+        }
+    )
+    part = lambda c, name: F.transform(c, lambda f: f[name])
     return rows.select(
         "line_no",
         "case_id",
         "category",
         "n_turns",
-        F.concat("e1", "e2", "e3", "e4", F.when(F.col("live"), sixth).otherwise(none), repeated).alias("errors"),
-        F.when(F.col("is_fence"), F.array(F.lit("V32"))).when(F.col("live"), warnings).otherwise(none).alias("warnings"),
+        part("bad", "code").alias("errors"),
+        part("odd", "code").alias("warnings"),
         (~F.col("is_fence")).alias("is_case"),
+        part("bad", "message").alias("error_messages"),
+        part("odd", "message").alias("warning_messages"),
     )
 
 
+def report_lines(found: DataFrame) -> DataFrame:
+    """line_no, case_id, level, code, message: a row for each finding."""
+    of = lambda level, codes, texts: F.transform(F.arrays_zip(codes, texts), lambda x: F.struct(F.lit(level).alias("level"), x[codes].alias("code"), x[texts].alias("message")))
+    return found.select("line_no", "case_id", F.inline(F.concat(of("error", "errors", "error_messages"), of("warning", "warnings", "warning_messages"))))
+
+
+def category_counts(found: DataFrame) -> DataFrame:
+    """category, n_cases of the cases that have an id."""
+    return found.where("is_case and case_id is not null").groupBy("category").agg(F.count("*").alias("n_cases"))
+
+
 def summarize_validation(found: DataFrame, strict: bool = False) -> DataFrame:
     """One row: cases, usable cases, errors, warnings, lengths, PASS or FAIL (V34)."""
     n_err, n_warn = F.size("errors"), F.size("warnings")

@@ -35,9 +35,15 @@ class Config:
     embedder: Callable = hashed_embeddings
     scorer: Callable | None = None
     compressor: Callable = compress_texts
+    pruner: Callable | None = None  # of words, where compress_texts goes below sentences
 
     def __post_init__(self):
-        check_fraction("budget_safety_margin", self.budget_safety_margin)
+        for name in ("budget_safety_margin", "compression_ratio", "max_recency_fraction", "dedup_similarity_threshold"):
+            check_fraction(name, getattr(self, name))
+        if self.budget_fraction is not None:
+            check_fraction("budget_fraction", self.budget_fraction)
+        if self.preserve_recent_n < 0:
+            raise ValueError(f"preserve_recent_n must be >= 0, got {self.preserve_recent_n}")
 
     def score(self, turns: DataFrame) -> DataFrame:
         if self.scorer is not None:
@@ -84,5 +90,5 @@ def compress(turns: DataFrame, config: Config = Config()) -> DataFrame:
     groups = merged_groups(assigned, ["conv_id"], "turn_id")
     options = {"embedder": config.embedder, "weights": (config.semantic_weight, config.lexical_weight)} if config.compressor is compress_texts else {}
     if config.compressor is compress_texts:
-        options["corpus_text"] = "content"
+        options |= {"corpus_text": "content", "pruner": config.pruner}
     return assemble(tiers, config.compression_ratio, config.counter, groups, turns, config.compressor, **options)

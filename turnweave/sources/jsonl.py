@@ -16,12 +16,18 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.select(F.col("value").alias("line"), F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at"))
     counts = lines.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.join(F.broadcast(counts.select("part", before.alias("before"))), "part").select((F.col("before") + F.col("at") + 1).alias("line_no"), "line")
+    return lines.join(counts.select("part", before.alias("before")), "part").select((F.col("before") + F.col("at") + 1).alias("line_no"), "line")
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases with a fixed schema; any malformed line fails the read. Blank lines are skipped."""
-    return spark.read.schema(CASE).json(path, mode="FAILFAST")
+def read_cases(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """line_no and the fields of a case, of the first ``limit`` non-blank lines
+    (0: all). A line that is no such case fails the read, by its path and number."""
+    lines = numbered_lines(spark, path).withColumn("line", strip(F.col("line"))).where("line <> ''")
+    if limit:
+        lines = lines.orderBy("line_no").limit(limit)
+    parsed = lines.withColumn("case", F.from_json("line", f"{CASE}, bad string", {"columnNameOfCorruptRecord": "bad"}))
+    wrong = F.raise_error(F.concat(F.lit(f"{path}:"), F.col("line_no").cast("string"), F.lit(": invalid JSON")))
+    return parsed.where(F.when(F.col("case.bad").isNull(), True).otherwise(wrong.cast("boolean"))).select("line_no", "case.*").drop("bad")
 
 
 def tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
