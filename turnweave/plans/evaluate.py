@@ -128,11 +128,11 @@ def rate_distortion(summary: DataFrame) -> DataFrame:
     return points.orderBy("method", "mean_token_reduction_pct", "mean_evidence_recall")
 
 
-def derived_cases(turns: DataFrame) -> DataFrame:
+def derived_cases(turns: DataFrame, n_words: int = 3) -> DataFrame:
     """A case per conversation of turns(conv_id, turn_id, content, ...): the last
-    turn asks, and the first three words of the middle turn are the answer."""
+    turn asks, and the first n_words words of the middle turn are the answer."""
     middle = turns.groupBy("conv_id").agg(F.max("turn_id").alias("last")).withColumn("mid", F.expr("last div 2"))
-    gold = F.array_join(F.slice(F.regexp_extract_all(F.col("content"), F.lit(r"(?U)\S+"), F.lit(0)), 1, 3), " ")
+    gold = F.array_join(F.slice(F.regexp_extract_all(F.col("content"), F.lit(r"(?U)\S+"), F.lit(0)), 1, n_words), " ")
     rows = turns.join(middle, "conv_id").where("turn_id = mid and last > 0")
     kind = F.when(F.col("last") < 4, "recency").otherwise("lexical")
     return rows.select("conv_id", F.col("conv_id").cast("string").alias("case_id"), kind.alias("category"), gold.alias("gold_answer"), F.col("mid").cast("int").alias("evidence_turn_id"), word_count(F.col("content")).alias("evidence_words"))

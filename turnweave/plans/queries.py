@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnweave.functions import text as T
@@ -33,9 +33,13 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budgeted(spark: SparkSession, sf_dir: str, fraction: float = 0.3) -> DataFrame:
-    rows = turns(spark, sf_dir)
-    total = rows.groupBy("conv_id").agg(F.greatest(F.lit(1), (F.sum("token_count") * F.lit(fraction)).cast("int")).alias("budget"))
-    return rows.join(total, "conv_id")
+    return with_budget(turns(spark, sf_dir), fraction)
+
+
+def with_budget(rows: DataFrame, fraction: float) -> DataFrame:
+    """rows with ``budget``: a fraction of their conversation's tokens."""
+    total = F.sum("token_count").over(Window.partitionBy("conv_id"))
+    return rows.withColumn("budget", F.greatest(F.lit(1), (total * F.lit(fraction)).cast("int")))
 
 
 def token_counts(spark, sf_dir):
@@ -98,8 +102,9 @@ def score_only(spark, sf_dir):
 
 
 def embedding_survivors(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return assign_survivors(rows, ["label"], "vec_id", None, 0.6).select("label", "vec_id", "survivor")
+    """Vectors in runs of 40 by id, as a conversation's turns would be."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("run", F.expr("vec_id div 40"))
+    return assign_survivors(rows, ["run"], "vec_id", None, 0.3).select("run", "vec_id", "survivor")
 
 
 def dedup_survivors(spark, sf_dir):
@@ -116,14 +121,11 @@ def recency_floor(spark, sf_dir):
     return out.select("conv_id", "turn_id", "is_recent")
 
 
-def _scored(spark, sf_dir):
-    """Turns with a score that SQL repeats exactly: their distinct tokens over 1000."""
-    rows = budgeted(spark, sf_dir, 0.5)
-    return rows.withColumn("score", F.size(F.array_distinct(T.lexical_tokens(F.col("content")))) / F.lit(1000.0))
-
-
 def tier_assignment(spark, sf_dir):
-    return allocate_tiers(_scored(spark, sf_dir), 1, 0.3, 0.5).select("conv_id", "turn_id", "tier")
+    """Tiers of the earlier turns by their hybrid score for the last one."""
+    rows = with_budget(asked(spark, sf_dir), 0.5)
+    scores = hybrid_score(rows, ["conv_id"], "turn_id", "content", "query").select("conv_id", "turn_id", "score")
+    return allocate_tiers(rows.join(scores, ["conv_id", "turn_id"]), 1, 0.3, 0.5).select("conv_id", "turn_id", "tier")
 
 
 def tier_counts(spark, sf_dir):
@@ -136,8 +138,8 @@ def word_info(spark, sf_dir):
 
 
 def prune_words(spark, sf_dir):
-    rows = turns(spark, sf_dir).select("conv_id", "turn_id", F.posexplode(T.words(F.col("content"))).alias("pos", "word"))
-    rows = rows.withColumn("info", F.length("word").cast("double"))
+    """The more informative half of each turn's words."""
+    rows = word_information(turns(spark, sf_dir), ["conv_id", "turn_id"], "content")
     return prune_by_information(rows, ["conv_id", "turn_id"], 0.5)
 
 
@@ -187,12 +189,12 @@ def _sweep(spark, sf_dir):
 
 
 def eval_results(spark, sf_dir):
-    return _sweep(spark, sf_dir).drop("compression_ratio", "latency_ms", "error")
+    return _sweep(spark, sf_dir).drop("latency_ms", "error")
 
 
 def eval_summary(spark, sf_dir):
-    out = summarize(_sweep(spark, sf_dir))
-    return out.select("method", "budget_frac", "category", "n_cases", "answer_present_rate", "within_budget_rate", "n_errors")
+    """All columns but the latency, which no two runs share."""
+    return summarize(_sweep(spark, sf_dir)).drop("mean_latency_ms")
 
 
 def answer_pivot(spark, sf_dir):
@@ -200,7 +202,7 @@ def answer_pivot(spark, sf_dir):
 
 
 def eval_rate_distortion(spark, sf_dir):
-    return rate_distortion(summarize(_sweep(spark, sf_dir))).select("method", "budget_frac", "answer_present_rate")
+    return rate_distortion(summarize(_sweep(spark, sf_dir)))
 
 
 def eval_pipeline(spark, sf_dir):
@@ -210,9 +212,9 @@ def eval_pipeline(spark, sf_dir):
 
 
 def leakage_check(spark, sf_dir):
-    """Turns other than the evidence that contain a case's answer."""
+    """Turns other than the evidence that contain a case's answer, here one word."""
     rows = turns(spark, sf_dir)
-    both = rows.join(derived_cases(rows).select("conv_id", "gold_answer", "evidence_turn_id"), "conv_id")
+    both = rows.join(derived_cases(rows, 1).select("conv_id", "gold_answer", "evidence_turn_id"), "conv_id")
     return both.where((F.col("turn_id") != F.col("evidence_turn_id")) & F.contains(F.lower("content"), F.lower("gold_answer"))).select("conv_id", "turn_id", "gold_answer")
 
 
@@ -357,23 +359,32 @@ _CASES = f"""m AS (SELECT conv_id, max(turn_id) AS last, max(turn_id) // 2 AS mi
            WHERE method = 'full_context' OR (method = 'last_n' AND down <= eff) OR (method = 'head_tail' AND (head OR tail <= eff - used)) GROUP BY ALL),
      e AS (SELECT case_id, category, y.method, y.frac AS budget_frac, budget AS budget_tokens, eff AS effective_budget, CAST(orig AS BIGINT) AS original_tokens, CAST(coalesce(kept, 0) AS BIGINT) AS compressed_tokens,
                   round_even(100.0::DOUBLE * (1.0::DOUBLE - coalesce(kept, 0) / orig), 3) AS token_reduction_pct,
+                  CASE WHEN kept > 0 THEN round_even(orig / kept, 4) ELSE 'inf'::DOUBLE END AS compression_ratio,
                   CASE WHEN contains(coalesce(txt, ''), trim(regexp_replace(lower(gold), '\\s+', ' ', 'g'))) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evidence_recall,
                   CASE WHEN y.method <> 'full_context' THEN CAST(coalesce(kept, 0) <= eff AS INTEGER) END AS within_budget
            FROM y LEFT JOIN k ON k.conv_id = y.conv_id AND k.method = y.method AND k.frac = y.frac)"""
 
 _SUMMARY = f"""WITH {_BASE}, {_CASES}, su AS (SELECT method, budget_frac, CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category, count(*) AS n_cases,
-       round_even(avg(evidence_recall), 4) AS answer_present_rate, round_even(avg(within_budget), 3) AS within_budget_rate, CAST(0 AS BIGINT) AS n_errors
+       round_even(avg(token_reduction_pct), 2) AS mean_token_reduction_pct, round_even(avg(compression_ratio) FILTER (compression_ratio <> 'inf'::DOUBLE), 3) AS mean_compression_ratio,
+       round_even(avg(evidence_recall), 4) AS mean_evidence_recall, round_even(avg(evidence_recall), 4) AS answer_present_rate, round_even(avg(within_budget), 3) AS within_budget_rate, CAST(0 AS BIGINT) AS n_errors
      FROM e GROUP BY GROUPING SETS ((method, budget_frac, category), (method, budget_frac)))"""
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_TIERS = f"""WITH RECURSIVE {_BASE}, {_BUDGET.format('0.5')}, d AS (SELECT *, len(list_distinct({_LEX.format('content')})) AS sc, sum(tc) OVER n AS spent, row_number() OVER n AS rn FROM b WINDOW n AS (PARTITION BY conv_id ORDER BY turn_id DESC ROWS UNBOUNDED PRECEDING)),
-     o AS (SELECT conv_id, turn_id, tc, budget, rn <= 1 AND spent <= budget * 0.5::DOUBLE AS recent, CAST(ceil(tc * 0.3::DOUBLE) AS BIGINT) AS short FROM d),
-     q AS (SELECT o.*, row_number() OVER (PARTITION BY o.conv_id ORDER BY recent DESC, sc DESC, o.turn_id) AS i FROM o JOIN (SELECT conv_id, turn_id, sc FROM d) USING (conv_id, turn_id)),
+_TIERS = f"""{_SCORES.replace('WITH', 'WITH RECURSIVE', 1)},
+     d AS (SELECT a.*, score, greatest(1, CAST(floor(sum(tc) OVER (PARTITION BY conv_id) * 0.5::DOUBLE) AS INTEGER)) AS budget, sum(tc) OVER n AS spent, row_number() OVER n AS rn FROM a JOIN sc USING (conv_id, turn_id)
+           WINDOW n AS (PARTITION BY conv_id ORDER BY turn_id DESC ROWS UNBOUNDED PRECEDING)),
+     o AS (SELECT conv_id, turn_id, tc, score, budget, rn <= 1 AND spent <= budget * 0.5::DOUBLE AS recent, CAST(ceil(tc * 0.3::DOUBLE) AS BIGINT) AS short FROM d),
+     q AS (SELECT o.*, row_number() OVER (PARTITION BY conv_id ORDER BY recent DESC, score DESC, turn_id) AS i FROM o),
      f AS (SELECT conv_id, 0::BIGINT AS i, CAST(max(budget) AS BIGINT) AS left_, NULL::VARCHAR AS tier, 0 AS turn_id FROM q GROUP BY conv_id
            UNION ALL
            SELECT f.conv_id, q.i, CAST(left_ - CASE WHEN recent OR left_ >= tc THEN tc WHEN left_ >= short THEN short ELSE 0 END AS BIGINT),
                   CASE WHEN recent THEN 'KEEP_RECENT' WHEN left_ >= tc THEN 'KEEP_FULL' WHEN left_ >= short THEN 'COMPRESS' ELSE 'DROP' END, q.turn_id
            FROM f JOIN q ON q.conv_id = f.conv_id AND q.i = f.i + 1)"""
+_INFO = f"""WITH {_BASE}, x AS (SELECT conv_id, turn_id, unnest({_WORDS.format('content')}) AS word, generate_subscripts({_WORDS.format('content')}, 1) - 1 AS pos FROM t),
+      y AS (SELECT *, lower(word) AS w, lag(lower(word)) OVER (PARTITION BY conv_id, turn_id ORDER BY pos) AS v FROM x), pr AS (SELECT v, w, count(*) AS vw FROM y WHERE v IS NOT NULL GROUP BY ALL),
+      hd AS (SELECT v, sum(vw) AS vn FROM pr GROUP BY v), sz AS (SELECT count(DISTINCT w) AS size FROM pr),
+      i AS (SELECT conv_id, turn_id, pos, word, CASE WHEN v IS NOT NULL THEN round(-ln((vw + 0.1::DOUBLE) / (vn + 0.1::DOUBLE * size)), 6) END AS own FROM y LEFT JOIN pr USING (v, w) LEFT JOIN hd USING (v), sz),
+      wi AS (SELECT conv_id, turn_id, CAST(pos AS INTEGER) AS pos, word, coalesce(own, median(own) OVER (PARTITION BY conv_id, turn_id), 0) AS info FROM i)"""
 
 ORACLE_SQL = {
     "token_counts": f"WITH {_BASE} SELECT conv_id, count(*) AS n_turns, CAST(sum(tc) AS BIGINT) AS n_tokens, CAST(max(tc) AS INTEGER) AS most FROM t GROUP BY conv_id",
@@ -393,25 +404,20 @@ ORACLE_SQL = {
     "hashed_vectors": f"WITH {_BASE}, {_vec('t', 'conv_id, turn_id', 'content', 'dv')} SELECT conv_id, turn_id, array_to_string(list_transform(v, lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), ' ') AS vector FROM dv",
     "hybrid_scores": f"{_SCORES} SELECT conv_id, turn_id, cosine, score FROM sc",
     "score_only": f"{_SCORES} SELECT conv_id, turn_id, score FROM sc",
-    "embedding_survivors": f"WITH RECURSIVE src AS (SELECT label, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), {_fold('src', 'label', 0.6)} SELECT label, id AS vec_id, survivor FROM s",
+    "embedding_survivors": f"WITH RECURSIVE src AS (SELECT CAST(vec_id // 40 AS BIGINT) AS run, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), {_fold('src', 'run', 0.3)} SELECT run, id AS vec_id, survivor FROM s",
     "dedup_survivors": f"{_SURVIVORS} SELECT conv_id, id AS turn_id, CAST(survivor AS BIGINT) AS survivor FROM s",
     "dedup_groups": f"{_SURVIVORS} SELECT conv_id, CAST(survivor AS BIGINT) AS survivor, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM s GROUP BY ALL HAVING count(*) > 1",
     "recency_floor": f"WITH {_BASE}, {_BUDGET.format('0.3')} SELECT conv_id, turn_id, row_number() OVER w <= 3 AND sum(tc) OVER w <= budget * 0.5::DOUBLE AS is_recent FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn_id DESC ROWS UNBOUNDED PRECEDING)",
     "tier_assignment": f"{_TIERS} SELECT conv_id, turn_id, tier FROM f WHERE i > 0",
     "tier_counts": f"{_TIERS} SELECT tier, count(*) AS n FROM f WHERE i > 0 GROUP BY tier",
-    "word_information": f"""WITH {_BASE}, x AS (SELECT conv_id, turn_id, unnest({_WORDS.format('content')}) AS word, generate_subscripts({_WORDS.format('content')}, 1) - 1 AS pos FROM t),
-      y AS (SELECT *, lower(word) AS w, lag(lower(word)) OVER (PARTITION BY conv_id, turn_id ORDER BY pos) AS v FROM x), pr AS (SELECT v, w, count(*) AS vw FROM y WHERE v IS NOT NULL GROUP BY ALL),
-      hd AS (SELECT v, sum(vw) AS vn FROM pr GROUP BY v), sz AS (SELECT count(DISTINCT w) AS size FROM pr),
-      i AS (SELECT conv_id, turn_id, pos, word, CASE WHEN v IS NOT NULL THEN round(-ln((vw + 0.1::DOUBLE) / (vn + 0.1::DOUBLE * size)), 6) END AS own FROM y LEFT JOIN pr USING (v, w) LEFT JOIN hd USING (v), sz)
-      SELECT conv_id, turn_id, CAST(pos AS INTEGER) AS pos, word, coalesce(own, median(own) OVER (PARTITION BY conv_id, turn_id), 0) AS info FROM i""",
-    "prune_words": f"""WITH {_BASE}, x AS (SELECT conv_id, turn_id, unnest({_WORDS.format('content')}) AS word, generate_subscripts({_WORDS.format('content')}, 1) AS pos FROM t),
-      r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_id ORDER BY length(word) DESC, pos) AS rn, count(*) OVER (PARTITION BY conv_id, turn_id) AS n FROM x)
+    "word_information": f"{_INFO} SELECT * FROM wi",
+    "prune_words": f"""{_INFO}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_id ORDER BY info DESC, pos) AS rn, count(*) OVER (PARTITION BY conv_id, turn_id) AS n FROM wi)
       SELECT conv_id, turn_id, string_agg(word, ' ' ORDER BY pos) AS text FROM r WHERE rn <= greatest(1, round_even(n * 0.5::DOUBLE, 0)) GROUP BY ALL""",
     "generous_pipeline": f"WITH {_BASE}, {_ASKED} SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages, CAST(sum(tc) AS BIGINT) AS original_tokens, CAST(sum(tc) AS BIGINT) AS compressed_tokens, 1.0::DOUBLE AS compression_ratio FROM a GROUP BY conv_id",
     "eval_results": f"WITH {_BASE}, {_CASES} SELECT *, evidence_recall AS answer_present FROM e",
     "eval_summary": f"{_SUMMARY} SELECT * FROM su",
     "category_pivot": f"{_SUMMARY} SELECT budget_frac, method, max(answer_present_rate) FILTER (category = 'lexical') AS lexical, max(answer_present_rate) FILTER (category = 'recency') AS recency FROM su GROUP BY ALL",
-    "rate_distortion": f"{_SUMMARY} SELECT method, budget_frac, answer_present_rate FROM su WHERE category = 'ALL'",
-    "leakage_check": f"WITH {_BASE}, {_CASES} SELECT t.conv_id, t.turn_id, gold AS gold_answer FROM t JOIN c USING (conv_id) WHERE t.turn_id <> c.mid AND contains(lower(t.content), lower(gold))",
+    "rate_distortion": f"{_SUMMARY} SELECT method, budget_frac, mean_token_reduction_pct, mean_evidence_recall, answer_present_rate FROM su WHERE category = 'ALL'",
+    "leakage_check": f"WITH {_BASE}, {_CASES.replace('[1:3]', '[1:1]')} SELECT t.conv_id, t.turn_id, gold AS gold_answer FROM t JOIN c USING (conv_id) WHERE t.turn_id <> c.mid AND contains(lower(t.content), lower(gold))",
     "validation_roles": f"WITH {_BASE}, {_CASES} SELECT case_id, bool_or(role NOT IN ('user', 'assistant')) AS bad_role, bool_or(role IN ('user', 'assistant') AND role <> CASE WHEN turn_id % 2 = 0 THEN 'user' ELSE 'assistant' END) AS bad_order FROM t JOIN c USING (conv_id) GROUP BY case_id",
 }
