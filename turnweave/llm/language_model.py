@@ -114,18 +114,41 @@ def _request_batches(segments: int):
             columns = []
             for known, each in ((word, bt.mix(tokens, 4)), (pair, pairs)):
                 count = np.bincount(np.searchsorted(known, each[learned]), minlength=len(known)).astype(np.int32)
-                n = np.diff(_edges(known, segments))
-                columns += [binary(known.tobytes(), n * 8), binary(count.tobytes(), n * 4)]
+                cuts = _edges(known, segments)
+                n = np.diff(cuts)
+                columns += [binary(_planes(_steps(known, cuts), cuts), n * 8), binary(_planes(count, cuts), n * 4)]
             group = pa.array(np.full(segments, table.column("group")[0].as_py()))
             yield pa.RecordBatch.from_arrays([group, pa.array(np.arange(segments, dtype=np.int32)), *columns], names=["group", "segment", "words", "word_counts", "pairs", "pair_counts"])
 
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(how many items each row has, the items of all rows)."""
+def _planes(values: np.ndarray, cuts: np.ndarray) -> bytes:
+    """values[cuts[i]:cuts[i + 1]] of each i byte plane by byte plane, which the
+    shuffle's compression makes little of where high bytes are 0."""
+    return b"".join(values[a:b].view(np.uint8).reshape(b - a, values.itemsize).T.tobytes() for a, b in zip(cuts[:-1], cuts[1:]))
+
+
+def _from_planes(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(how many values each row has, the values of all rows)."""
     offsets, data = bt.string_parts(column)
-    return np.diff(offsets) // np.dtype(kind).itemsize, np.frombuffer(data.tobytes(), kind)
+    size = np.dtype(kind).itemsize
+    parts = [data[a:b].reshape(size, -1).T.tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    return np.diff(offsets) // size, np.frombuffer(b"".join(parts), kind)
+
+
+def _steps(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sorted hashes as the steps between them, from 0 on in each segment: small numbers."""
+    out = np.diff(hashes, prepend=np.uint64(0))
+    out[cuts[:-1][np.diff(cuts) > 0]] = hashes[cuts[:-1][np.diff(cuts) > 0]]
+    return out
+
+
+def _from_steps(sizes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    out = np.cumsum(steps, dtype=np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    before = np.where(begin > 0, out[begin - 1] if len(out) else 0, 0).astype(np.uint64)
+    return out - np.repeat(before, sizes)
 
 
 def _answer_batches(bits: int):
@@ -136,13 +159,14 @@ def _answer_batches(bits: int):
         for table in grouped(batches, ["segment"]):
             asked = []
             for name in ("word", "pair"):
-                sizes, hashes = _joined(table.column(f"{name}s"), np.uint64)
+                sizes, steps = _from_planes(table.column(f"{name}s"), np.uint64)
+                hashes = _from_steps(sizes, steps)
                 known, at = np.unique(hashes, return_inverse=True)
-                total = np.bincount(at, _joined(table.column(f"{name}_counts"), np.int32)[1], len(known)).astype(np.int64)
+                total = np.bincount(at, _from_planes(table.column(f"{name}_counts"), np.int32)[1], len(known)).astype(np.int64)
                 asked.append((sizes, known, at, total, np.searchsorted(LEVELS, total, "right")))
             model = Filter.build(np.concatenate([x[1] for x in asked]), np.concatenate([x[4] for x in asked]), bits)
             (n_words, word, at, total, _), (n_pairs, pair, pair_at, _, _) = asked
-            told = [binary(total[at].tobytes(), n_words * 8)]
+            told = [binary(_planes(total[at], np.append(0, np.cumsum(n_words))), n_words * 8)]
             told += [binary(model.levels(x).astype(np.uint8)[i].tobytes(), n) for x, i, n in ((word, at, n_words), (pair, pair_at, n_pairs))]
             told += [pa.array(np.full(table.num_rows, x, np.int64)) for x in (total.sum(), (total > 0).sum())]
             yield pa.RecordBatch.from_arrays(
@@ -208,7 +232,7 @@ def _scores(priors: tuple[float, ...]):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("segment")
         tokens, first, word, pairs, pair = _whole(rows)
-        counts, own, both = (_joined(answers.column(c), kind)[1] for c, kind in (("counts", np.int64), ("levels", np.uint8), ("pair_levels", np.uint8)))
+        counts, own, both = (_from_planes(answers.column(c), kind)[1] for c, kind in (("counts", np.int64), ("levels", np.uint8), ("pair_levels", np.uint8)))
         if len(counts) != len(word) or len(both) != len(pair):
             raise RuntimeError("the rows of a group changed between its requests and the answers: docs is not repeatable")
         total, distinct = (int(np.sum(answers.column(c).to_numpy())) for c in ("tokens", "distinct"))
@@ -253,7 +277,7 @@ def score_texts(
     bits_per_entry: int = 16,
     text: str = "text",
     ident: str = "doc_id",
-    group_bytes: int = 4 << 20,
+    group_bytes: int = 8 << 20,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     every row; the model learns from the rows where ``training`` holds.
@@ -273,7 +297,7 @@ def score_texts(
     dealt = rows.withColumn("group", group).repartition(1 + groups // 2, "group")
     requests = dealt.sortWithinPartitions("group").mapInArrow(_request_batches(segments), "group long, segment int, words binary, word_counts binary, pairs binary, pair_counts binary")
     answers = (
-        requests.repartition(segments, "segment")
+        requests.repartitionById(segments, "segment")
         .sortWithinPartitions("segment")
         .mapInArrow(_answer_batches(bits_per_entry), "group long, segment int, counts binary, levels binary, pair_levels binary, tokens long, distinct long")
     )
