@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     with freed_shuffles(spark):
-        df.write.parquet(folder)
+        df.write.option("compression", "zstd").parquet(folder)
     path, system = _path(spark, folder)
     system.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(folder)
@@ -66,7 +66,7 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     name, buckets = f"cut_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = f"{shared_folder(spark)}/{name}"
     with freed_shuffles(spark):
-        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", folder).saveAsTable(name)
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", folder).option("compression", "zstd").saveAsTable(name)
     path, system = _path(spark, folder)
     system.deleteOnExit(path)
     out = spark.table(name)
