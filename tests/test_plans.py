@@ -138,6 +138,10 @@ def test_stream(spark, tmp_path):
     run()
     got = {r.batch: len(r.messages) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got == {0: 1, 1: 2}
+    spark.createDataFrame([(1, 1, "assistant", "hi once more"), (2, 0, "user", "alone"), (2, 1, "user", "not any more")], schema).write.mode("append").parquet(feed)
+    run()
+    last = {r.conv_id: [m.content for m in r.messages] for r in spark.read.parquet(str(tmp_path / "o")).where("batch = 2").collect()}
+    assert last == {1: ["hello there", "hi once more"], 2: ["alone"]}
 
 
 def test_contract():

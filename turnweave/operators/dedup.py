@@ -24,15 +24,20 @@ def assign_survivors(df: DataFrame, keys: list[str], ident: str, text: str | Non
     vectors = df.select(*keys, ident, "embedding") if text is None else embedder(df, [*keys, ident], text)
     vectors = vectors.select(*keys, F.struct(F.col(ident).cast("long").alias("id"), unit(F.col("embedding")).alias("v")).alias("x"))
     rows = vectors.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    start = F.struct(F.array().cast("array<struct<id:bigint,v:array<double>>>").alias("kept"), F.array().cast("array<struct<id:bigint,survivor:bigint>>").alias("out"))
+    # the state holds places in xs, not vectors: it is copied in each step
+    start = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast("array<bigint>").alias("out"))
 
     def step(state, x):
-        near = F.filter(state["kept"], lambda k: F.round(dot(k["v"], x["v"]), 6) >= threshold)
-        own = F.when(F.size(near) > 0, F.get(near, F.lit(0))["id"]).otherwise(x["id"])
-        kept = F.when(F.size(near) > 0, state["kept"]).otherwise(F.concat(state["kept"], F.array(x)))
-        return F.struct(kept.alias("kept"), F.concat(state["out"], F.array(F.struct(x["id"].alias("id"), own.alias("survivor")))).alias("out"))
-
-    out = rows.select(*keys, F.inline(F.aggregate("xs", start, step, lambda s: s["out"])))
+        first = F.get(F.filter(state["kept"], lambda k: F.round(dot(F.get("xs", k)["v"], x["v"]), 6) >= threshold), F.lit(0))
+        grown = lambda k: F.struct(
+            F.when(k.isNotNull(), state["kept"]).otherwise(F.concat(state["kept"], F.array(F.size(state["out"])))).alias("kept"),
+            F.concat(state["out"], F.array(F.coalesce(F.get("xs", k)["id"], x["id"]))).alias("out"),
+        )
+        # bound by a lambda, so that the survivors are searched once
+        return F.get(F.transform(F.array(first), grown), F.lit(0))
+
+    survivors = F.aggregate("xs", start, step, lambda s: s["out"])
+    out = rows.select(*keys, F.inline(F.arrays_zip(F.transform("xs", lambda x: x["id"]).alias("id"), survivors.alias("survivor"))))
     return out.withColumnRenamed("id", ident)
 
 
