@@ -48,3 +48,14 @@ def test_pairs_from_turns(spark):
     turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
     got = {r.conv_id: [(t.role, t.text) for t in r.rejected] for r in chat.pairs_from_turns(turns).collect()}
     assert got == {1: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "b")], 2: [("user", "only")], 3: [("user", "x")]}
+
+
+def test_repeated_empty_and_long_conversations(spark):
+    schema = "conv_id long, turn int, role string, text string"
+    assert chat.preference_pairs(chat.pairs_from_turns(spark.createDataFrame([], schema))).count() == 0
+    long = "word " * 400_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "assistant", None), (2, 0, "user", "q"), (2, 0, "user", "q"), (None, None, None, None)]
+    got = {r.conv_id: r for r in chat.preference_pairs(chat.pairs_from_turns(spark.createDataFrame(rows, schema))).collect()}
+    assert set(got) == {1, 2, None} and len(got[1].prompt) > 2_000_000 and got[2].same
+    again = {r.conv_id: r for r in chat.preference_pairs(chat.pairs_from_turns(spark.createDataFrame(rows[::-1], schema))).collect()}
+    assert got == again

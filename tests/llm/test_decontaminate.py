@@ -71,3 +71,11 @@ def test_empty_tables(spark):
     docs, items = tables()
     assert answer(spark, docs, []) == brute(docs, [])
     assert answer(spark, [], items) == []
+
+
+def test_a_very_long_text(spark):
+    item = " ".join("w%d" % i for i in range(20))
+    docs = spark.createDataFrame([(1, "b " * 300_000 + item), (2, "b " * 12)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in contaminated(docs, items).collect()}
+    assert got == {1: (300_020, 20, 1, False), 2: (12, 0, 0, False)}

@@ -61,3 +61,29 @@ def test_one_row_of_a_group_stays(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((str(r.doc_id), r.text) for r in got if r.text and r.doc_id) == [("1", long[0]), ("2", long[2]), ("3", long[3])]
     assert sum(bool(r.text) for r in got) == 4 and sum(not r.text for r in got) == 3
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark, folder, tmp_path):
+    path, _ = folder
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k1 string, score int, open int, part int"
+    rows = [(1, "calm alone", "en", "s", 10, "x", 1, 2, 3), (1, "calm alone", "en", "s", 10, "x", 1, 2, 3), (None, None, None, None, None, None, None, None, None), (None, "", None, None, 0, None, None, None, None), (2, "calm " * 300_000, "en", "s", 1_500_000, "y", 0, 0, 0)]
+    for name, data in (("empty", []), ("odd", rows)):
+        docs = spark.createDataFrame(data, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, path)
+            if k < 4:
+                assert out.columns == corpus_pipeline.COLUMNS
+            out.write.parquet(f"{tmp_path}/{name}-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+        assert docs.count() == (0 if name == "empty" else 4)
+
+
+def test_short_repeated_passages_go(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(n))
+    passage = prose(52)
+    docs = {i: prose(80) + " " + (passage + " " if i < 6 else "") + prose(40) for i in range(12)}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, df, "").collect()}
+    assert all(passage not in t for t in got.values()) and all(got[i] == docs[i] for i in range(6, 12))
+    assert all(len(got[i]) < len(docs[i]) - 240 for i in range(6))

@@ -63,3 +63,11 @@ def test_frequent_lines_are_removed(spark):
 
 def test_empty(spark):
     assert answer(spark, []) == []
+
+
+def test_a_very_long_text(spark):
+    text = "\n".join("line %d of %d" % (i, i % 7) for i in range(100_000))
+    assert len(text) > 1 << 20
+    docs = spark.createDataFrame([(1, text, "a"), (2, None, "a")], "doc_id long, text string, source string")
+    got = {r.doc_id: [r[c] for c in COLUMNS[1:7]] for r in quality(docs).collect()}
+    assert got == {1: base(text), 2: base(None)}
