@@ -43,3 +43,13 @@ def test_unnamed_entries_and_empty_tables(spark):
     empty = spark.createDataFrame([], schema)
     assert {r.verdict for r in url_filter.judge(pages, empty).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), listed).collect() == []
+
+
+@pytest.mark.parametrize("bits_per_key", [2, 16])
+def test_many_blocks(spark, bits_per_key):
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id, '.net/p') AS url")
+    listed = spark.range(0, 3000, 2).selectExpr("concat('h', id, '.net/') AS key", "'block' AS verdict", "CAST(NULL AS STRING) AS rule")
+    got = url_filter.judge(pages, listed, bits_per_key=bits_per_key)
+    assert "PythonUDF" not in got._jdf.queryExecution().toString()
+    assert sorted(r.page_id for r in got.where("verdict = 'block'").collect()) == list(range(0, 3000, 2))
+    assert got.count() == 3000

@@ -7,10 +7,13 @@ those prefixes of its path that have a listed length; only candidates that pass
 the filter meet the list, in an exact join that removes false positives. All of
 it is built-in column functions.
 
-At scale. The filter is a constant of at most ``max_words`` 64-bit words; for a
-longer list the candidates go to the exact join directly, which Spark shuffles
-(and splits where a key is hot). Pages are scanned once, for their id and URL;
-one row per page is shuffled to gather the page's matches.
+At scale. The filter is a table of blocks that meets the candidates by block
+number, broadcast once its rows are counted: at most ``max_words`` 64-bit words.
+For a longer list the candidates go to the exact join directly, which Spark
+shuffles (and splits where a key is hot); the result is the same. Every page has
+a row of its own beside its candidates, under a key of its own, so pages without
+a listed candidate are no hot key there. Pages are scanned once, for their id
+and URL; what is left is combined by page before it is shuffled.
 
 Edge cases. A null URL, or one without ``://``, has an empty host and path. A
 key listed twice blocks if either entry blocks. Entries with a rule name win
@@ -21,10 +24,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.runtime import small
+from turnweave.llm.runtime import cut, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LANES = 4
@@ -48,34 +53,26 @@ def _bit(key: Column, lane: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit("lanes")), 6 * lane).bitwiseAND(F.lit(63)).cast("int")
 
 
-def bloom_words(listed: DataFrame, blocks: int) -> list[int]:
-    """The filter's words: lane i of block b at b * 4 + i."""
+def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
+    """(block, w0, ..., w3): the filter's blocks that have a bit set."""
     mask = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("key"), i))
-    rows = listed.groupBy(_block(F.col("key"), blocks).alias("block")).agg(*[F.bit_or(mask(i)).alias(f"w{i}") for i in range(_LANES)])
-    words = [0] * (blocks * _LANES)
-    for r in rows.collect():
-        words[r.block * _LANES : (r.block + 1) * _LANES] = [r.w0, r.w1, r.w2, r.w3]
-    return words
+    return listed.groupBy(_block(F.col("key"), blocks).alias("block")).agg(*[F.bit_or(mask(i)).alias(f"w{i}") for i in range(_LANES)])
 
 
-def may_be_listed(key: Column, words: list[int]) -> Column:
-    """False only if the key is surely not in the filter."""
-    constant = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-    start = _block(key, len(words) // _LANES).cast("int") * _LANES
-    out = F.lit(True)
-    for i in range(_LANES):
-        out = out & (F.call_function("shiftrightunsigned", F.get(constant, start + i), _bit(key, i)).bitwiseAND(F.lit(1)) == 1)
-    return out
+def _may_be_listed(key: Column) -> Column:
+    """Not true if the key is surely not in the filter whose block stands beside it."""
+    bits = [F.call_function("shiftrightunsigned", F.col(f"w{i}"), _bit(key, i)).bitwiseAND(F.lit(1)) for i in range(_LANES)]
+    return reduce(Column.bitwiseAND, bits) == 1
 
 
-def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", bits_per_key: int = 16, max_words: int = 1 << 20, url: str = "url", ident: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", bits_per_key: int = 16, max_words: int = 1 << 21, url: str = "url", ident: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict, listed_key of every page.
 
     listed: (key, verdict, rule): key is a host followed by a path prefix, rule
     a name to report or null.
     """
     listed = listed.groupBy("key").agg(F.max("verdict").alias("listed_verdict"), F.max("rule").alias("rule"))
-    listed = listed.withColumn("path_length", F.length("key") - F.length(F.substring_index("key", "/", 1)))
+    listed = cut(listed.withColumn("path_length", F.length("key") - F.length(F.substring_index("key", "/", 1))))
     n, labels = listed.agg(F.count("*"), F.coalesce(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))), F.lit(1))).first()
     lengths = sorted(r[0] for r in listed.select("path_length").distinct().collect())
     rows = pages.select(F.col(ident).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
@@ -84,12 +81,15 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", bits_per_
     prefix = [F.when(F.length("path") >= k, F.substring("path", 1, k) if k else F.lit("")) for k in lengths]
     heads = F.array_compact(F.array(*prefix)) if prefix else F.array().cast("array<string>")
     keys = F.flatten(F.transform(parents, lambda host: F.transform(heads, lambda head: F.concat(host, head))))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    own = F.struct(F.concat(F.lit("\0"), F.col("row").cast("string")).alias("key"), F.lit(True).alias("own"))
+    asked = F.array_append(F.transform(keys, lambda key: F.struct(key.alias("key"), F.lit(False).alias("own"))), own)
+    rows = rows.select("row", "page_id", "host", "path", F.inline(asked))
     blocks = max(1, -(-n * bits_per_key // (64 * _LANES)))
     if blocks * _LANES <= max_words:
-        words = bloom_words(listed, blocks)
-        keys = F.filter(keys, lambda key: may_be_listed(key, words))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "host", "path", F.explode_outer(keys).alias("key"))
-    found = rows.join(small(listed.drop("path_length"), 256), "key", "left")
-    best = F.max(F.when(F.col("listed_verdict").isNotNull(), F.struct(F.col("rule").isNotNull().alias("named"), F.length("key").alias("length"), "key", "rule", "listed_verdict"))).alias("best")
+        bloom = small(cut(bloom_blocks(listed, blocks)), 64)
+        rows = rows.withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block", "left").where(F.col("own") | _may_be_listed(F.col("key")))
+    found = rows.select("row", "page_id", "host", "path", "key", "own").join(small(listed.drop("path_length"), 256), "key", "left")
+    best = F.max(F.when(~F.col("own") & F.col("listed_verdict").isNotNull(), F.struct(F.col("rule").isNotNull().alias("named"), F.length("key").alias("length"), "key", "rule", "listed_verdict"))).alias("best")
     found = found.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best)
     return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict"), F.col("best.key").alias("listed_key"))
