@@ -66,3 +66,15 @@ def test_slots_are_spread_evenly(spark):
 def test_empty_and_wordless(spark):
     assert run(spark, []) == []
     assert [(r.size, r.target, r.taken) for r in run(spark, [(1, None, "a"), (2, " ", None)])] == [(0, 0.0, 0)] * 2
+
+
+def test_many_small_sources(spark):
+    rows = [(i, "w " * (1 + i % 9), "s%03d" % (i % 600)) for i in range(1200)] + [(5000 + i, "w " * 300, "hot") for i in range(20)]
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += t.count("w")
+    want, source = brute_targets(dict(sizes)), {d: s for d, _, s in rows}
+    for r in run(spark, rows, block_words=8):
+        assert abs(r.target - want[source[r.doc_id]]) < 1e-6 and r.taken <= 3 * r.size
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)

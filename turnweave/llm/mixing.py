@@ -12,7 +12,10 @@ At scale. No step gathers a source in one task: slots are ranked in runs of
 65,536 consecutive slots and texts are placed in hashed buckets of about
 ``bucket_rows`` rows; only the sums of runs and buckets are accumulated per
 source. Slots meet blocks by an equi-join on (source, block), keys of at most
-``max_repeats`` slots each. Text is read once, to count its words.
+``max_repeats`` slots each. A slot finds its owner by an equi-join on cells of
+the unit interval, four or more for each source. The targets themselves are
+running sums over the sources: one row a source, in one task. Text is read once,
+to count its words.
 
 Edge cases. A null text has size 0 and takes nothing; a null source comes last.
 An empty table gives an empty mix; sources of size 0 have target 0. Rows with
@@ -29,7 +32,7 @@ from turnweave.llm.runtime import cut, small
 
 #: The golden ratio's step on a grid of 2**31 points (odd, so its period is the whole grid).
 _STEP, _GRID = 1327217885, 1 << 31
-_RUN, _CELLS = 65536, 1024
+_RUN, _LEAST_CELLS = 65536, 1024
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -97,10 +100,11 @@ def schedule(
     sure = F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     share = quota.withColumn("hi", F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, 0)) / sure).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
     share = cut(share.select("place", "source_size", "quota", "blocks", "needed", "lo", "hi"))
-    cells = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.least(F.floor(F.col("hi") * _CELLS), F.lit(_CELLS - 1)))))
+    n_cells = max(_LEAST_CELLS, 1 << (4 * n_sources).bit_length())  # a power of two, so that products with it are exact
+    cells = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * n_cells), F.least(F.floor(F.col("hi") * n_cells), F.lit(n_cells - 1)))))
     slots = 2 * n_sources + 2 + (total * 102) // (100 * block_words)
     points = ((F.col("id") % _GRID) * _STEP % _GRID) / float(_GRID)
-    slot = docs.sparkSession.range(slots).select(F.col("id").alias("slot"), points.alias("u")).withColumn("cell", F.floor(F.col("u") * _CELLS))
+    slot = docs.sparkSession.range(slots).select(F.col("id").alias("slot"), points.alias("u")).withColumn("cell", F.floor(F.col("u") * n_cells))
     owned = slot.join(small(cut(cells.select("place", "lo", "hi", "cell")), 48), "cell").where("u >= lo and u < hi").select("slot", "place", F.expr(f"slot div {_RUN}").alias("run"))
     owned = cut(owned)
     runs = owned.groupBy("place", "run").agg(F.count("*").alias("n"))
