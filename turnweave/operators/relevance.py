@@ -2,7 +2,8 @@
 
 A batch is the rows with equal ``keys`` (a conversation's turns, or a turn's
 sentences). Every step is a window or an aggregate that is keyed by the batch,
-so one shuffle on the batch serves them all. Scores are rounded to 6 decimals
+so one shuffle on the batch serves them all. Rows of single terms carry numbers
+only, no query: what is sorted stays a small multiple of the text. Scores are rounded to 6 decimals
 before they are ranked.
 """
 
@@ -31,19 +32,30 @@ def bm25(df: DataFrame, keys: list[str], ident: str, text: str, query: str) -> D
     the batch's mean weight instead. Rows without a matching term score 0; so
     does a batch without any token.
     """
-    doc = df.select(*keys, ident, lexical_tokens(F.col(text)).alias("terms"), lexical_tokens(F.col(query)).alias("asked"))
     batch = Window.partitionBy(*keys)
-    doc = doc.withColumns({"n": F.count("*").over(batch), "dl": F.size("terms"), "avgdl": F.avg(F.size("terms")).over(batch)})
-    term = doc.select(*keys, ident, "n", "dl", "avgdl", "asked", F.explode_outer("terms").alias("term"))
-    term = term.groupBy(*keys, ident, "term").agg(F.count("term").alias("tf"), *[F.first(c).alias(c) for c in ("n", "dl", "avgdl", "asked")])
-    df_of = F.count("term").over(Window.partitionBy(*keys, "term"))
-    term = term.withColumn("df", df_of).withColumn("raw", F.when(F.col("term").isNotNull(), F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)))
+    doc = df.select(*keys, ident, F.col(text).alias("text"), F.col(query).alias("query"), F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("dl"))
+    doc = doc.withColumns({"n": F.count("*").over(batch), "avgdl": F.avg("dl").over(batch)})
+    doc = doc.select(*keys, ident, "n", "dl", "avgdl", lexical_tokens(F.col("text")).alias("terms"), F.coalesce(lexical_tokens(F.col("query")), F.array().cast("array<string>")).alias("asked"))
+    #: Terms that are asked for come with their counts; of the others only the rows are counted, so a term's row holds no text but its own.
+    within = lambda a, t: F.size(a) - F.size(F.array_remove(a, t))
+    entry = lambda t, tf, times: F.struct(t.alias("term"), tf.cast("int").alias("tf"), times.cast("int").alias("times"))
+    hits = F.transform(F.array_intersect("terms", "asked"), lambda t: entry(t, within(F.col("terms"), t), within(F.col("asked"), t)))
+    others = F.transform(F.array_except("terms", "asked"), lambda t: entry(t, F.lit(0), F.lit(0)))
+    term = doc.select(*keys, ident, "n", "dl", "avgdl", F.explode_outer(F.concat(hits, others)).alias("t")).select(*keys, ident, "n", "dl", "avgdl", "t.*")
+    part = F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    term = term.select(*keys, ident, "n", "term", F.when(F.col("times") > 0, part).otherwise(0.0).alias("part"))
+    term = term.withColumn("df", F.when(F.col("term").isNotNull(), F.count("term").over(Window.partitionBy(*keys, "term"))))
+    term = term.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     #: The mean over distinct terms: each of a term's df rows carries 1/df of it.
-    mean = F.sum(F.col("raw") / F.col("df")).over(batch) / F.sum(F.when(F.col("term").isNotNull(), 1.0 / F.col("df"))).over(batch)
-    term = term.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")))
-    times = F.size(F.filter("asked", lambda a: a == F.col("term")))
-    gain = F.col("idf") * times * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return term.groupBy(*keys, ident).agg(F.round(F.coalesce(F.sum(F.when(F.col("term").isNotNull(), gain)), F.lit(0.0)), 6).alias("bm25"))
+    row = term.groupBy(*keys, ident).agg(
+        F.sum(F.when(F.col("raw") >= 0, F.col("raw") * F.col("part"))).alias("rare"),
+        F.sum(F.when(F.col("raw") < 0, F.col("part"))).alias("frequent"),
+        F.sum(F.col("raw") / F.col("df")).alias("raw"),
+        F.sum(1.0 / F.col("df")).alias("terms"),
+    )
+    mean = F.sum("raw").over(batch) / F.sum("terms").over(batch)
+    gain = F.coalesce("rare", F.lit(0.0)) + F.coalesce(EPSILON * mean * F.col("frequent"), F.lit(0.0))
+    return row.select(*keys, ident, F.round(gain, 6).alias("bm25"))
 
 
 def similarity(df: DataFrame, keys: list[str], ident: str, text: str, query: str, embedder=hashed_embeddings) -> DataFrame:
