@@ -1,5 +1,9 @@
 """Plans and steps whose moved and held bytes must stay in step with the input."""
 
+import math
+
+
+from turnweave.operators.condense import prune_by_information, word_information
 from turnweave.operators.relevance import bm25
 
 
@@ -29,3 +33,15 @@ def test_bm25_of_missing_texts(spark):
     got = {(r.conv_id, r.turn_id): r.bm25 for r in out.collect()}
     # "the" is in half of the rows, which weighs nothing
     assert len(got) == 6 and got.pop((1, 0)) > 0 and set(got.values()) == {0.0}
+
+
+def test_counts_are_looked_up_by_pair(spark):
+    texts = spark.createDataFrame([(1, "The cat and THE dog"), (2, "the cat"), (3, "One"), (4, " "), (5, None)], "k int, text string")
+    info = word_information(texts, ["k"], "text")
+    plans = info._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plans and plans.count("Join LeftOuter") == 3
+    got = {(r.k, r.pos): (r.word, r.info) for r in info.collect()}
+    assert [got[1, i][0] for i in range(5)] == ["The", "cat", "and", "THE", "dog"] and got[3, 0] == ("One", 0.0) and len(got) == 8
+    # two of the three words after "the", among four second words; the only one after "cat"
+    assert got[1, 1] == got[2, 1] == ("cat", round(-math.log(2.1 / 3.4), 6)) and got[1, 2] == ("and", round(-math.log(1.1 / 1.4), 6))
+    assert {r.k: r.text for r in prune_by_information(info, ["k"], 1.0).collect()} == {1: "The cat and THE dog", 2: "the cat", 3: "One"}

@@ -7,12 +7,14 @@ add-alpha smoothing; a text's first word has the median of the others.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnweave.functions.text import sentences, word_count, words
 from turnweave.functions.vectors import hashed_embeddings
-from turnweave.lineage import cut
+from turnweave.lineage import bucketed, cut
 from turnweave.operators.dedup import check_fraction
 from turnweave.operators.relevance import hybrid_score
 
@@ -34,23 +36,40 @@ def prune_by_information(words_: DataFrame, keys: list[str], fraction: Column |
     return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ").alias("text"))
 
 
-def word_information(texts: DataFrame, keys: list[str], text: str, corpus: DataFrame | None = None, corpus_text: str | None = None, alpha: float = 0.1) -> DataFrame:
-    """keys, pos, word, info of the words of texts; the bigram counts come from
-    corpus (texts themselves by default)."""
+@dataclass(frozen=True)
+class Bigrams:
+    """A corpus's bigram counts: pair(v, w, vw), and how many words come second."""
+
+    pair: DataFrame
+    size: int
+
 
+def count_bigrams(corpus: DataFrame, text: str) -> Bigrams:
     def bigrams(w: Column) -> Column:
         last = F.size(w) - 1
         return F.arrays_zip(F.slice(w, 1, last).alias("v"), F.slice(w, 2, last).alias("w"))
 
-    source = (corpus if corpus is not None else texts).select(F.col(corpus_text or text).alias("t")).where(word_count(F.col("t")) > 1)
-    pair = cut(source.select(words(F.lower("t")).alias("w")).select(F.explode(bigrams(F.col("w"))).alias("b")).select("b.v", "b.w").groupBy("v", "w").agg(F.count("*").alias("vw")))
-    head = pair.groupBy("v").agg(F.sum("vw").alias("vn"))
-    size = pair.select("w").distinct().count()
-    split = texts.select(*keys, F.posexplode(words(F.col(text))).alias("pos", "word"))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    known = split.withColumns({"w": F.lower("word"), "v": F.lag(F.lower("word")).over(order)}).join(pair, ["v", "w"], "left").join(head, "v", "left")
-    p = (F.coalesce("vw", F.lit(0)) + alpha) / (F.coalesce("vn", F.lit(0)) + alpha * max(size, 1))
-    info = known.select(*keys, "pos", "word", F.when(F.col("v").isNotNull(), F.round(-F.ln(p), 6)).alias("own"))
+    source = corpus.select(F.col(text).alias("t")).where(word_count(F.col("t")) > 1)
+    pair = source.select(words(F.lower("t")).alias("w")).select(F.explode(bigrams(F.col("w"))).alias("b")).select("b.v", "b.w").groupBy("v", "w").agg(F.count("*").alias("vw"))
+    pair = bucketed(pair, "v", "w")
+    return Bigrams(pair, pair.select("w").distinct().count())
+
+
+def word_information(
+    texts: DataFrame, keys: list[str], text: str, corpus: DataFrame | None = None, corpus_text: str | None = None, alpha: float = 0.1, counts: Bigrams | None = None
+) -> DataFrame:
+    """keys, pos, word, info of the words of texts; the bigram counts are given
+    or come from corpus (texts themselves by default)."""
+    counts = counts or count_bigrams(corpus if corpus is not None else texts, corpus_text or text)
+    low = texts.select(*keys, words(F.col(text)).alias("words")).withColumn("low", F.transform("words", F.lower))
+    #: ``cased`` only where it differs: less to shuffle.
+    item = lambda w, i: F.struct(F.when(i > 0, F.get("low", i - 1)).alias("v"), w.alias("w"), F.nullif(F.get("words", i), w).alias("cased"))
+    split = low.select(*keys, F.posexplode(F.transform("low", item)).alias("pos", "b")).select(*keys, "pos", "b.*")
+    #: Counts are looked up once for each different pair, so no frequent word gathers its occurrences.
+    head = counts.pair.groupBy("v").agg(F.sum("vw").alias("vn"))
+    known = split.where("v IS NOT NULL").select("v", "w").distinct().join(counts.pair, ["v", "w"], "left").join(head, "v", "left")
+    p = (F.coalesce("vw", F.lit(0)) + alpha) / (F.coalesce("vn", F.lit(0)) + alpha * max(counts.size, 1))
+    info = split.join(known.select("v", "w", F.round(-F.ln(p), 6).alias("own")), ["v", "w"], "left").select(*keys, "pos", F.coalesce("cased", "w").alias("word"), "own")
     middle = F.coalesce(F.expr("percentile(own, 0.5)").over(Window.partitionBy(*keys)), F.lit(0.0))
     return info.select(*keys, "pos", "word", F.coalesce("own", middle).alias("info"))
 
@@ -59,11 +78,15 @@ def select_sentences(texts: DataFrame, keys: list[str], text: str, query: str, t
     """keys, selected: the most relevant sentences while their running size stays
     within target (stops at the first that does not fit), in text order. Texts
     of which nothing fits do not appear."""
-    split = cut(texts.select(*keys, query, target, F.posexplode(sentences(F.col(text))).alias("sent_id", "sentence")))
+    split = bucketed(texts.select(*keys, query, target, F.posexplode(sentences(F.col(text))).alias("sent_id", "sentence")), *keys)
     scored = hybrid_score(split, keys, "sent_id", "sentence", query, *weights, embedder).select(*keys, "sent_id", "score")
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("sent_id")).rowsBetween(Window.unboundedPreceding, 0)
-    fits = split.join(scored, [*keys, "sent_id"]).withColumn("spent", F.sum(counter(F.col("sentence"))).over(order)).where(F.col("spent") <= F.col(target))
-    return fits.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "sentence"))), lambda s: s["sentence"]), " ").alias("selected"))
+    sizes = split.select(*keys, "sent_id", target, counter(F.col("sentence")).alias("size"))
+    fits = sizes.join(scored, [*keys, "sent_id"]).withColumn("spent", F.sum("size").over(order)).where(F.col("spent") <= F.col(target))
+    #: Sentences are met by their numbers: those of a text lie together in split.
+    kept = fits.groupBy(*keys).agg(F.collect_set("sent_id").alias("kept"))
+    rows = split.join(kept, keys).where(F.array_contains("kept", F.col("sent_id")))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "sentence"))), lambda s: s["sentence"]), " ").alias("selected"))
 
 
 def compress_texts(
@@ -79,6 +102,7 @@ def compress_texts(
     embedder=hashed_embeddings,
     weights: tuple[float, float] = (0.6, 0.4),
     pruner=None,
+    counts: Bigrams | None = None,
 ) -> DataFrame:
     """keys, compressed. Sentences are selected for overshoot * target; if the
     selection is still over target its words are pruned, and if nothing could
@@ -94,7 +118,7 @@ def compress_texts(
     over = both.where(~(F.col("found") & (F.col("size") <= F.col(target))) & (F.col("size") > 0))
     over = over.select(*keys, "text", F.least(F.lit(1.0), F.greatest(F.lit(0.01), F.col(target) / F.col("size"))).alias("fraction"))
     if pruner is None:
-        info = word_information(over, keys, "text", corpus if corpus is not None else texts, corpus_text or text)
+        info = word_information(over, keys, "text", corpus if corpus is not None else texts, corpus_text or text, counts=counts)
         pruned = prune_by_information(info.join(over.select(*keys, "fraction"), keys), keys, F.col("fraction"))
     else:
         pruned = pruner(over)
