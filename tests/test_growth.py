@@ -2,9 +2,12 @@
 
 import math
 
+import pytest
+from pyspark.sql import functions as F
 
 from turnweave.operators.condense import prune_by_information, word_information
 from turnweave.operators.relevance import bm25
+from turnweave.plans import compress as plan
 
 
 def above(plan, name):
@@ -35,6 +38,19 @@ def test_bm25_of_missing_texts(spark):
     assert len(got) == 6 and got.pop((1, 0)) > 0 and set(got.values()) == {0.0}
 
 
+@pytest.fixture
+def turns(spark):
+    rows = [(c, i, "user", f"The pay{i % 3} of c{c} is due. We pay {i} times! Ask w{i} again?") for c in range(1, 5) for i in range(8)]
+    return spark.createDataFrame(rows, "conv_id long, turn_id int, role string, content string").withColumn("token_count", F.lit(13)).withColumn("query", F.lit("when is pay2 due"))
+
+
+def test_allocation_holds_no_text(spark, turns, monkeypatch):
+    seen = []
+    monkeypatch.setattr(plan, "allocate_tiers", (lambda f: lambda rows, *a, **b: seen.append(set(rows.columns)) or f(rows, *a, **b))(plan.allocate_tiers))
+    assert plan.compress(turns, plan.Config(budget_fraction=0.4)).count() == 4
+    assert len(seen) == 1 and not seen[0] & {"content", "query", "role"}
+
+
 def test_counts_are_looked_up_by_pair(spark):
     texts = spark.createDataFrame([(1, "The cat and THE dog"), (2, "the cat"), (3, "One"), (4, " "), (5, None)], "k int, text string")
     info = word_information(texts, ["k"], "text")

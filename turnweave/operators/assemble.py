@@ -28,7 +28,9 @@ def assemble(turns: DataFrame, compression_ratio: float = 0.3, counter=word_coun
     target = F.greatest(F.lit(1), F.ceil(F.col("token_count") * F.lit(float(compression_ratio))).cast("int"))
     short = checked.where("tier = 'COMPRESS'").select(*keys, "content", "query", target.alias("target"))
     short = compressor(short, keys, corpus=corpus if corpus is not None else turns, counter=counter, **options)
-    rows = checked.join(short, keys, "left")
+    # the turns that stay as they are need not meet the shortened ones
+    whole = checked.where("tier <> 'COMPRESS'").withColumn("compressed", F.lit(None).cast("string"))
+    rows = whole.unionByName(checked.where("tier = 'COMPRESS'").join(short, keys, "left"))
     text = F.when(F.col("tier") == "COMPRESS", F.col("compressed")).when(F.col("tier") != "DROP", F.col("content"))
     rows = rows.withColumn("out", F.when((F.col("tier") != "COMPRESS") | (F.length(text) > 0), text))
     item = F.struct("turn_id", F.struct("role", F.col("out").alias("content")).alias("m"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from turnweave.functions.text import word_count
 from turnweave.functions.vectors import hashed_embeddings
-from turnweave.lineage import cut
+from turnweave.lineage import bucketed, cut
 from turnweave.operators.allocate import allocate_tiers
 from turnweave.operators.assemble import assemble
-from turnweave.operators.condense import compress_texts
+from turnweave.operators.condense import Bigrams, compress_texts, count_bigrams
 from turnweave.operators.dedup import assign_survivors, check_fraction, merged_groups
 from turnweave.operators.relevance import hybrid_score
 
@@ -73,22 +73,51 @@ def score(turns: DataFrame, config: Config = Config()) -> DataFrame:
     return config.score(turns).select("conv_id", "turn_id", "score")
 
 
-def compress(turns: DataFrame, config: Config = Config()) -> DataFrame:
+@dataclass(frozen=True)
+class Ranked:
+    """What no budget changes: the turns, their survivors, those alive, and the
+    scores of these, with the bigram counts that pruning will ask for, if made."""
+
+    turns: DataFrame
+    assigned: DataFrame
+    alive: DataFrame
+    scores: DataFrame
+    counts: Bigrams | None = None
+
+
+def rank(turns: DataFrame, config: Config = Config(), repeated: bool = False) -> Ranked:
+    """Merges and scores. With ``repeated``, for use under several budgets, the
+    scores and bigram counts are tables too, made once, and those alive are dealt
+    out once."""
+    turns = turns if hasattr(turns, "cut_folder") else cut(turns)
+    assigned = cut(assign_survivors(turns, ["conv_id"], "turn_id", "content", config.dedup_similarity_threshold, config.embedder))
+    alive = turns.join(assigned.where("turn_id = survivor").select("conv_id", "turn_id"), ["conv_id", "turn_id"], "left_semi")
+    alive = bucketed(alive, "conv_id", "turn_id") if repeated else cut(alive)
+    scores = score(alive, config)
+    if not repeated:
+        return Ranked(turns, assigned, alive, scores)
+    counts = count_bigrams(turns, "content") if config.compressor is compress_texts and config.pruner is None else None
+    return Ranked(turns, assigned, alive, cut(scores), counts)
+
+
+def compress(turns: DataFrame, config: Config = Config(), ranked: Ranked | None = None) -> DataFrame:
     """One report row per conversation of turns(conv_id, turn_id, role, content,
     token_count, query). Duplicates go first, so all counts are of survivors."""
-    turns = cut(turns)
-    assigned = cut(assign_survivors(turns, ["conv_id"], "turn_id", "content", config.dedup_similarity_threshold, config.embedder))
-    alive = cut(turns.join(assigned.where("turn_id = survivor").select("conv_id", "turn_id"), ["conv_id", "turn_id"], "left_semi"))
-    scored = alive.join(score(alive, config), ["conv_id", "turn_id"], "left")
+    ranked = ranked or rank(turns, config)
+    turns, keys = ranked.turns, ["conv_id", "turn_id"]
+    # the competition needs sizes and scores; texts meet its outcome afterwards
+    scored = ranked.alive.select(*keys, "token_count").join(ranked.scores, keys, "left")
     if config.budget_fraction is None:
         whole = F.lit(config.token_budget)
     else:
         total = turns.groupBy("conv_id").agg(F.greatest(F.lit(1), (F.sum("token_count") * F.lit(config.budget_fraction)).cast("int")).alias("whole"))
         scored, whole = scored.join(total, "conv_id"), F.col("whole")
     scored = scored.withColumn("budget", (whole * F.lit(config.budget_safety_margin)).cast("int"))
-    tiers = cut(allocate_tiers(scored, config.preserve_recent_n, config.compression_ratio, config.max_recency_fraction))
-    groups = merged_groups(assigned, ["conv_id"], "turn_id")
+    tier = allocate_tiers(scored, config.preserve_recent_n, config.compression_ratio, config.max_recency_fraction).select(*keys, "tier")
+    # only turns that are shortened ask for the query
+    tiers = cut(ranked.alive.join(tier, keys).withColumn("query", F.when(F.col("tier") == "COMPRESS", F.col("query"))))
+    groups = merged_groups(ranked.assigned, ["conv_id"], "turn_id")
     options = {"embedder": config.embedder, "weights": (config.semantic_weight, config.lexical_weight)} if config.compressor is compress_texts else {}
     if config.compressor is compress_texts:
-        options |= {"corpus_text": "content", "pruner": config.pruner}
+        options |= {"corpus_text": "content", "pruner": config.pruner, "counts": ranked.counts}
     return assemble(tiers, config.compression_ratio, config.counter, groups, turns, config.compressor, **options)
