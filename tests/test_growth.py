@@ -5,9 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from turnweave.operators import condense
 from turnweave.operators.condense import prune_by_information, word_information
 from turnweave.operators.relevance import bm25
 from turnweave.plans import compress as plan
+from turnweave.plans.evaluate import sweep
 
 
 def above(plan, name):
@@ -44,6 +46,19 @@ def turns(spark):
     return spark.createDataFrame(rows, "conv_id long, turn_id int, role string, content string").withColumn("token_count", F.lit(13)).withColumn("query", F.lit("when is pay2 due"))
 
 
+def test_a_sweep_ranks_once(spark, turns, monkeypatch):
+    calls = []
+    for module, name in ((plan, "assign_survivors"), (plan, "hybrid_score"), (plan, "count_bigrams"), (condense, "count_bigrams")):
+        monkeypatch.setattr(module, name, (lambda f, n: lambda *a, **b: calls.append(n) or f(*a, **b))(getattr(module, name), name), raising=False)
+    cases = spark.createDataFrame([(c, str(c), "lexical", "The pay1 of") for c in range(1, 5)], "conv_id long, case_id string, category string, gold_answer string")
+    got = sweep(turns, cases, methods=("pipeline",), budgets=(0.2, 0.4, 0.8)).collect()
+    assert sorted(calls) == ["assign_survivors", "count_bigrams", "hybrid_score"]
+    assert all(r.error is None and r.latency_ms > 0 for r in got)
+    for b in (0.2, 0.4, 0.8):
+        alone = {str(r.conv_id): r.compressed_tokens for r in plan.compress(turns, plan.Config(budget_fraction=b)).collect()}
+        assert {r.case_id: r.compressed_tokens for r in got if r.budget_frac == b} == alone
+
+
 def test_allocation_holds_no_text(spark, turns, monkeypatch):
     seen = []
     monkeypatch.setattr(plan, "allocate_tiers", (lambda f: lambda rows, *a, **b: seen.append(set(rows.columns)) or f(rows, *a, **b))(plan.allocate_tiers))
