@@ -1,15 +1,20 @@
 """Plans and steps whose moved and held bytes must stay in step with the input."""
 
+import hashlib
 import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnweave.functions.vectors import DIM, hashed_embeddings
 from turnweave.operators import condense
 from turnweave.operators.condense import prune_by_information, word_information
 from turnweave.operators.relevance import bm25
 from turnweave.plans import compress as plan
 from turnweave.plans.evaluate import sweep
+from turnweave.plans.queries import score_only
 
 
 def above(plan, name):
@@ -40,6 +45,24 @@ def test_bm25_of_missing_texts(spark):
     assert len(got) == 6 and got.pop((1, 0)) > 0 and set(got.values()) == {0.0}
 
 
+def test_embeddings_of_odd_texts(spark):
+    rows = [(1, 0, "Pay the invoice, PAY the Invoice"), (1, 1, None), (1, 2, "... \u00e9"), (2, 0, "twice a key"), (2, 0, "a key twice"), (None, 3, "no key"), (3, 0, "word " * 5000)]
+    out = hashed_embeddings(spark.createDataFrame(rows, "conv_id long, turn_id int, content string"), ["conv_id", "turn_id"], "content")
+    made = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in made and made.count("Aggregate") == 1
+    want = {(c, t): Counter() for c, t, _ in rows}
+    for c, t, text in rows:
+        want[c, t].update(int(hashlib.md5(w.encode()).hexdigest()[-2:], 16) % DIM for w in re.findall("[a-z0-9]+", (text or "").lower()))
+    got = {(r.conv_id, r.turn_id): r.embedding for r in out.collect()}
+    assert got == {k: [float(n[i]) for i in range(DIM)] for k, n in want.items()}
+
+
+def test_scores_make_rows_of_single_words_once(spark):
+    made = score_only(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    generate = re.findall(r"Generate .*", made.toString())
+    assert len(generate) == 1 and "array_intersect" in generate[0]
+
+
 @pytest.fixture
 def turns(spark):
     rows = [(c, i, "user", f"The pay{i % 3} of c{c} is due. We pay {i} times! Ask w{i} again?") for c in range(1, 5) for i in range(8)]

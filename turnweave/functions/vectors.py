@@ -1,9 +1,9 @@
 """Vectors: hashed bag-of-words embeddings and cosines.
 
 An embedder is any function (df, keys, text column) -> df with ``embedding``;
-the default is deterministic and needs no model. Its vectors are built by an
-explode and two aggregates, not by nested lambdas, which would be evaluated
-again at each reference.
+the default is deterministic and needs no model. Its vectors are counted from
+one array of buckets a row, which an aggregate holds fast; rows of single words,
+of which a sort or a hash table holds many times the text, are not made.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ def bucket(word: Column, dim: int = DIM) -> Column:
 
 
 def hashed_embeddings(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
-    """keys and embedding (word counts by bucket) of each row; one shuffle on keys."""
-    word = df.select(*keys, F.explode_outer(lexical_tokens(F.col(text))).alias("w")).select(*keys, F.when(F.col("w").isNotNull(), bucket(F.col("w"), dim)).alias("b"))
-    counts = word.groupBy(*keys, "b").agg(F.count("b").alias("n"))
-    packed = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))).alias("m"))
-    return packed.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("float")).alias("embedding"))
+    """keys and embedding (word counts by bucket) of each row, equal keys taken together; one shuffle on keys."""
+    row = df.select(*keys, F.transform(lexical_tokens(F.col(text)), lambda w: bucket(w, dim)).alias("b"))
+    packed = row.groupBy(*keys).agg(F.flatten(F.collect_list("b")).alias("b"))
+    within = lambda i: F.size("b") - F.size(F.array_remove("b", i))
+    return packed.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: within(i).cast("float")).alias("embedding"))
 
 
 def dot(a: Column, b: Column) -> Column:
